@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import provenance, sentences, syntax
+from . import funcdoc, provenance, sentences, syntax
 from .sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return funcdoc.documented_functions(table(spark, folder, "nodes"), table(spark, folder, "source_texts")).select("id")
+
+
+def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return funcdoc.documented_functions(table(spark, folder, "nodes"), table(spark, folder, "source_texts"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.parsed_files(table(spark, folder, "files"), table(spark, folder, "source_texts")).where("NOT valid").select("path")
 
@@ -37,4 +45,4 @@ def p8_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_rates, p5_found, p5_reasons, p8_found, p8_sentences)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_rates, p5_found, p5_reasons, p8_found, p8_sentences)}
