@@ -68,7 +68,10 @@ def prose(comment: str | None, name: str | None) -> tuple[int, int]:
     own = {x.lower() for x in _NAME_PART.findall(name or "")} | ({(name or "").lower()} if name else set())
     own |= {x + "s" for x in own} | {x + "es" for x in own if x.endswith(("s", "x", "z", "ch", "sh"))}
     words = han = 0
+    leading = re.compile(rf"\s*{re.escape(name)}\s*(?:\(\))?\s*(?:[:\-–—]\s*|$)", re.I) if name else None
     for line in clean(comment):
+        if leading:
+            line = leading.sub("", line, count=1) if leading.match(line) else line
         if not line or line[0] == "@" or line[0] == "\\" or _DIRECTIVE.match(line) or _REMINDER.match(line) or _PLACEHOLDER.match(line) or _SEPARATOR.match(line):
             continue
         line = re.split(r"\s(?:TODO|FIXME|XXX|HACK)\b", line, maxsplit=1)[0]
@@ -189,7 +192,7 @@ class SourceLines:
         while line <= len(self.lines):
             depth += self.net[line]
             code = self.lines[line - 1]
-            if depth <= 0 and re.search(r":\s*(?:#.*)?$|:\s*[\"'rRuU]", code.rstrip("\r")) and (line > start or self.first[line]) and not self.first[line].startswith("@"):
+            if depth <= 0 and re.search(r"[:)]\s*(?:#.*)?$|:\s*[\"'rRuU]", code.rstrip("\r")) and (line > start or self.first[line]) and not self.first[line].startswith("@"):
                 break
             line += 1
         # decorated definitions start at their decorator or at the def itself

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import funcdoc, provenance, sentences, syntax
+from . import funcdoc, mixing, packing, provenance, sentences, syntax
 from .sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,23 @@ def p5_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return provenance.classified(table(spark, folder, "files"), table(spark, folder, "source_texts"))
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"), table(spark, folder, "container_sizes"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.container_report(table(spark, folder, "documents"), table(spark, folder, "container_sizes"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "source_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    targets = table(spark, folder, "source_targets")
+    return mixing.share_report(mixing.mixed(table(spark, folder, "documents"), targets), targets)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(table(spark, folder, "documents")).select("doc_id", "end_char").distinct()
 
@@ -45,4 +62,4 @@ def p8_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_rates, p5_found, p5_reasons, p8_found, p8_sentences)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_rates, p5_found, p5_reasons, p6_containers, p6_report, p7_mix, p7_shares, p8_found, p8_sentences)}
