@@ -2,6 +2,33 @@
 
 from __future__ import annotations
 
+P2_FOUND = """
+SELECT target, kind FROM edges
+WHERE target IS NOT NULL AND trim(target) <> ''
+GROUP BY target, kind HAVING count(*) >= 0.01 * (SELECT count(*) FROM edges)
+"""
+
+P2_GROUPS = """
+WITH ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY target, kind ORDER BY line NULLS LAST, col NULLS LAST, id NULLS LAST) AS rn FROM edges)
+SELECT target, kind, CAST(count(*) AS BIGINT) AS n_sites, CAST(count(DISTINCT source) AS BIGINT) AS n_sources,
+  max(line) FILTER (rn = 1) AS first_line, max(col) FILTER (rn = 1) AS first_col, max(id) FILTER (rn = 1) AS first_edge
+FROM ranked GROUP BY target, kind
+"""
+
+_REFS = """
+WITH newest AS (SELECT path, max(indexed_at) AS indexed_at FROM files WHERE path IS NOT NULL GROUP BY path),
+refs AS (
+  SELECT 'edges' AS ref_table, id AS row_id, 'source' AS field, source AS key, strftime(recorded_at, '%Y-%m') AS period FROM edges
+  UNION ALL SELECT 'edges', id, 'target', target, strftime(recorded_at, '%Y-%m') FROM edges
+  UNION ALL SELECT 'unresolved_refs', u.id, 'source', u.source, strftime(make_timestamp(n.indexed_at * 1000), '%Y-%m')
+  FROM unresolved_refs u LEFT JOIN newest n ON n.path = u.file_path),
+dangling AS (
+  SELECT * FROM refs WHERE key IS NOT NULL AND trim(key) <> '' AND NOT EXISTS (SELECT 1 FROM nodes WHERE nodes.id = refs.key))
+"""
+P3_FOUND = _REFS + "SELECT DISTINCT ref_table, row_id, field FROM dangling"
+P3_REPORT = _REFS + "SELECT ref_table, period, CAST(count(*) AS BIGINT) AS n_references, CAST(count(DISTINCT key) AS BIGINT) AS n_keys FROM dangling GROUP BY ref_table, period"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p3_found": P3_FOUND, "p3_report": P3_REPORT}
