@@ -68,18 +68,24 @@ def prose(comment: str | None, name: str | None) -> tuple[int, int]:
     own = {x.lower() for x in _NAME_PART.findall(name or "")} | ({(name or "").lower()} if name else set())
     own |= {x + "s" for x in own} | {x + "es" for x in own if x.endswith(("s", "x", "z", "ch", "sh"))}
     words = han = 0
-    leading = re.compile(rf"\s*{re.escape(name)}\s*(?:\(\))?\s*(?:[:\-–—]\s*|$)", re.I) if name else None
+    low = name.lower() if name else ""
+    odd = bool(name) and not name.isalpha()
     for line in clean(comment):
-        if leading:
-            line = leading.sub("", line, count=1) if leading.match(line) else line
+        if low and line[: len(low)].lower() == low:  # "name: text"
+            rest = line[len(low) :].removeprefix("()").lstrip()
+            if not rest or rest[0] in ":-–—":
+                line = rest[1:].lstrip()
         if not line or line[0] == "@" or line[0] == "\\" or _DIRECTIVE.match(line) or _REMINDER.match(line) or _PLACEHOLDER.match(line) or _SEPARATOR.match(line):
             continue
         line = re.split(r"\s(?:TODO|FIXME|XXX|HACK)\b", line, maxsplit=1)[0]
-        if name:
-            line = re.sub(rf"(?<!\w){re.escape(name)}(?!\w)", " ", line)
-        line = re.sub(r"\w*_\w*", lambda m: " " if {x.lower() for x in _NAME_PART.findall(m[0])} <= own else m[0], line)
-        han += len(_HAN.findall(line))
-        for w in _WORD.findall(_HAN.sub(" ", line)):
+        if odd and name in line:
+            line = line.replace(name, " ")
+        if "_" in line:
+            line = re.sub(r"\w*_\w*", lambda m: " " if {x.lower() for x in _NAME_PART.findall(m[0])} <= own else m[0], line)
+        if not line.isascii():
+            han += len(_HAN.findall(line))
+            line = _HAN.sub(" ", line)
+        for w in _WORD.findall(line):
             w = w.lower()
             if w not in _ARTICLES and w not in own:
                 words += 1
