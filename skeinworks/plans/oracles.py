@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .graph_sql import SQL
+
 P2_FOUND = """
 SELECT target, kind FROM edges
 WHERE target IS NOT NULL AND trim(target) <> ''
@@ -31,4 +33,4 @@ P3_REPORT = _REFS + "SELECT ref_table, period, CAST(count(*) AS BIGINT) AS n_ref
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p3_found": P3_FOUND, "p3_report": P3_REPORT}
+    return {"p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p3_found": P3_FOUND, "p3_report": P3_REPORT} | SQL
