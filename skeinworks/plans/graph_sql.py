@@ -62,11 +62,11 @@ start AS (SELECT min(ue.source) AS id FROM ue JOIN near ON near.id = ue.target W
 reach AS (SELECT id, 0 AS d FROM start UNION SELECT ue.target, reach.d + 1 FROM reach JOIN ue ON ue.source = reach.id WHERE reach.d < 2),
 dist AS (SELECT id, min(d) AS d FROM reach GROUP BY id),
 step AS (SELECT ue.source, ue.target, min(ue.edge_id) AS edge_id FROM ue JOIN dist a ON a.id = ue.source JOIN dist b ON b.id = ue.target AND b.d = a.d + 1 GROUP BY ALL),
-paths AS (SELECT id AS at, CAST([id] AS VARCHAR[]) AS nodes, CAST([] AS BIGINT[]) AS ids FROM start
-  UNION ALL SELECT step.target, list_append(paths.nodes, step.target), list_append(paths.ids, step.edge_id) FROM paths JOIN step ON step.source = paths.at),
-best AS (SELECT * FROM paths WHERE at = (SELECT id FROM subject) ORDER BY ids LIMIT 20)
-SELECT CAST(row_number() OVER (ORDER BY ids) AS INTEGER) AS path_no, array_to_string(nodes, ' > ') AS hops, array_to_string(list_transform(ids, x -> CAST(x AS VARCHAR)), ',') AS edge_ids
-FROM best WHERE len(list_filter(nodes, x -> x NOT IN (SELECT id FROM n))) = 0"""
+paths AS (SELECT id AS here, CAST([id] AS VARCHAR[]) AS nodes, CAST([] AS BIGINT[]) AS ids FROM start
+  UNION ALL SELECT step.target, list_append(paths.nodes, step.target), list_append(paths.ids, step.edge_id) FROM paths JOIN step ON step.source = paths.here),
+best AS (SELECT * FROM paths WHERE here = (SELECT id FROM subject) ORDER BY ids LIMIT 20)
+SELECT CAST(row_number() OVER (ORDER BY ids) AS INTEGER) AS path_no, array_to_string(nodes, ' > ') AS hops, array_to_string(list_transform(ids, lambda x: CAST(x AS VARCHAR)), ',') AS edge_ids
+FROM best WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(nodes) AS x) WHERE x NOT IN (SELECT id FROM n))"""
 
 RANKED = f"r AS (SELECT *, row_number() OVER (ORDER BY {TIER}, {REST}) AS rank FROM (SELECT * FROM n WHERE {_match(QUERY)} ORDER BY {TIER}, {REST} LIMIT {MAX_LIMIT}) WHERE kind NOT IN ({', '.join(repr(k) for k in STRUCTURAL_KINDS)}))"
 GROUPS = f"g AS (SELECT file_path, CAST(row_number() OVER (ORDER BY min(rank)) AS INTEGER) AS file_rank, min(start_line) AS span_start, max(end_line) AS span_end, string_agg(name, ',' ORDER BY rank, name) AS symbols FROM r GROUP BY file_path ORDER BY min(rank) LIMIT {SOURCE_FILES})"
@@ -88,7 +88,7 @@ def _terms(source: str, key: str, body: str) -> str:
 
 LIVE = "live AS (SELECT s.path, CASE WHEN contains(s.text, chr(13) || chr(10)) THEN f.modified_at + 1000 ELSE f.modified_at END AS modified_at FROM source_texts s JOIN f ON f.path = s.path WHERE length(s.path) % 7 <> 0)"
 HIT_TIER = "CASE WHEN name = term THEN 0 WHEN lower(name) = lower(term) THEN 1 WHEN starts_with(lower(name), lower(term)) THEN 2 WHEN contains(lower(qualified_name), lower(term)) THEN 3 ELSE 4 END"
-_PARTS = "list_transform(range(1, len(string_split(path, '/')) + 1), k -> array_to_string(list_slice(string_split(path, '/'), 1, k), '/'))"
+_PARTS = "list_transform(range(1, len(string_split(path, '/')) + 1), lambda k: array_to_string(list_slice(string_split(path, '/'), 1, k), '/'))"
 _DEPTH = "len(string_split(path, '/'))"
 
 
@@ -136,6 +136,6 @@ SQL = {
     "context_terms": f"WITH d AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), {_terms('d', 'doc_id', 'text')} SELECT * FROM t",
     "context_ranked": f"{WITH}, task AS (SELECT 1 AS task_id, '{TASK}' AS task), {_terms('task', 'task_id', 'task')}, hits AS (SELECT term, id, kind, CAST(row_number() OVER (PARTITION BY term ORDER BY {HIT_TIER}, {KIND_RANK}, coalesce(is_exported, 0) DESC, file_path NULLS FIRST, start_line NULLS FIRST, id) AS INTEGER) AS pos FROM n JOIN t ON contains(lower(qualified_name), lower(term)) OR contains(lower(name), lower(term)) QUALIFY pos <= 50) SELECT id, CAST(count(DISTINCT term) AS BIGINT) AS hits, min(pos) AS best FROM hits WHERE kind NOT IN ({', '.join(repr(k) for k in STRUCTURAL_KINDS)}) GROUP BY id ORDER BY 2 DESC, 3, 1 LIMIT {MAX_LIMIT}",
     "debounce_sessions": "WITH m AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM m) SELECT user_id, min(ts) AS started_at, max(ts) + INTERVAL 2 HOURS AS flushed_at, CAST(count(*) AS BIGINT) AS n_events, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM s GROUP BY user_id, session",
-    "json_array_validate": "WITH j AS (SELECT decorators AS json FROM nodes UNION ALL SELECT errors FROM files UNION ALL SELECT metadata FROM edges), c AS (SELECT CASE WHEN json IS NULL OR json = '' THEN 'empty' WHEN NOT json_valid(json) THEN 'unparseable' WHEN json_type(json) <> 'ARRAY' THEN 'not_array' WHEN len(list_filter(json_extract(json, '$[*]'), x -> json_type(x) <> 'VARCHAR')) > 0 THEN 'bad_element' ELSE 'ok' END AS state FROM j) SELECT state, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY state",
+    "json_array_validate": "WITH j AS (SELECT decorators AS json FROM nodes UNION ALL SELECT errors FROM files UNION ALL SELECT metadata FROM edges), c AS (SELECT CASE WHEN json IS NULL OR json = '' THEN 'empty' WHEN NOT json_valid(json) THEN 'unparseable' WHEN json_type(json) <> 'ARRAY' THEN 'not_array' WHEN len(list_filter(json_extract(json, '$[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0 THEN 'bad_element' ELSE 'ok' END AS state FROM j) SELECT state, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY state",
     "symbol_view": f"{WITH} SELECT name, qualified_name, kind, language, file_path AS path, start_line AS line, CASE WHEN length(docstring) > {DOC_CHARS} THEN left(docstring, {DOC_CHARS}) || '…' ELSE nullif(docstring, '') END AS docstring, CASE WHEN length(signature) > {SIGNATURE_CHARS} THEN left(signature, {SIGNATURE_CHARS}) || '…' ELSE nullif(signature, '') END AS signature, coalesce(is_exported = 1, false) AS exported, coalesce(is_abstract = 1, false) AS abstract FROM n",
 }
