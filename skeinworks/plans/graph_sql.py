@@ -138,4 +138,7 @@ SQL = {
     "debounce_sessions": "WITH m AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM m) SELECT user_id, min(ts) AS started_at, max(ts) + INTERVAL 2 HOURS AS flushed_at, CAST(count(*) AS BIGINT) AS n_events, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM s GROUP BY user_id, session",
     "json_array_validate": "WITH j AS (SELECT decorators AS json FROM nodes UNION ALL SELECT errors FROM files UNION ALL SELECT metadata FROM edges), c AS (SELECT CASE WHEN json IS NULL OR json = '' THEN 'empty' WHEN NOT json_valid(json) THEN 'unparseable' WHEN json_type(json) <> 'ARRAY' THEN 'not_array' WHEN len(list_filter(json_extract(json, '$[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0 THEN 'bad_element' ELSE 'ok' END AS state FROM j) SELECT state, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY state",
     "symbol_view": f"{WITH} SELECT name, qualified_name, kind, language, file_path AS path, start_line AS line, CASE WHEN length(docstring) > {DOC_CHARS} THEN left(docstring, {DOC_CHARS}) || '…' ELSE nullif(docstring, '') END AS docstring, CASE WHEN length(signature) > {SIGNATURE_CHARS} THEN left(signature, {SIGNATURE_CHARS}) || '…' ELSE nullif(signature, '') END AS signature, coalesce(is_exported = 1, false) AS exported, coalesce(is_abstract = 1, false) AS abstract FROM n",
+    "unique_names": f"{WITH} SELECT name, min(id) AS unique_id FROM n WHERE kind <> 'file' GROUP BY name HAVING count(*) = 1",
+    "resolve_refs": f"{WITH}, u AS (SELECT name, min(id) AS unique_id FROM n WHERE kind <> 'file' GROUP BY name HAVING count(*) = 1) SELECT 'file:' || r.file_path AS source, r.callee_name, u.unique_id AS target, r.line, r.col FROM unresolved_refs r LEFT JOIN u ON u.name = r.callee_name",
+    "stored_call_degree": f"{WITH}, c AS (SELECT * FROM e WHERE kind = 'calls' AND source IS NOT NULL AND target IS NOT NULL), o AS (SELECT source AS id, CAST(count(*) AS BIGINT) AS k FROM c GROUP BY 1), i AS (SELECT target AS id, CAST(count(*) AS BIGINT) AS k FROM c GROUP BY 1) SELECT n.id, coalesce(o.k, 0) AS calls_out, coalesce(i.k, 0) AS calls_in FROM n LEFT JOIN o ON o.id = n.id LEFT JOIN i ON i.id = n.id",
 }

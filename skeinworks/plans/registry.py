@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import orphans, skew
-from . import graph
+from . import build, graph
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,4 +34,4 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_report, *graph.QUERIES)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_report, *graph.QUERIES, *build.QUERIES)}
