@@ -9,12 +9,12 @@ from __future__ import annotations
 import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import model
 
-from .operators import compose, ranking, relations, traverse
+from .operators import compose, ranking, relations, resolution, traverse
 from .plans.build import Build
 from .sources import gitignore, snapshot, tree
 
@@ -150,7 +150,8 @@ class Graph:
 
     def _ranked(self, query: str, limit: int) -> DataFrame:
         found = ranking.search(self.nodes, query, limit)
-        numbered = found.sparkSession.createDataFrame([{**r, "rank": i} for i, r in enumerate(self._rows(found), 1)], found.schema.add("rank", "int"))
+        order = Window.partitionBy(F.lit(0)).orderBy(*ranking.by_rank(ranking.search_tier(query)))  # at most a request's limit of rows
+        numbered = found.withColumn("rank", F.row_number().over(order))
         return compose.drop_structural(numbered)
 
     def explore(self, query: str, limit: float | None = None, files: int = model.SOURCE_FILES) -> dict:
@@ -182,10 +183,10 @@ def index(spark: SparkSession, root: str, store: str) -> dict:
     found, overflow = tree.discover(tree.listing(spark, root), gitignore.load(root))
     read, skipped = tree.read_files(found)
     build = Build(read)
-    nodes, edges, unresolved = build.nodes(), build.edges(), build.unresolved()
+    now = F.unix_millis(F.current_timestamp())
+    nodes, edges, unresolved = resolution.stored_nodes(build.nodes(), now), build.edges(), build.unresolved()
     numbered = edges.withColumn("id", F.monotonically_increasing_id()).withColumn("provenance", F.lit("lexer"))
     counts = nodes.where("kind <> 'file'").groupBy(F.col("file_path").alias("path")).agg(F.count("*").cast("int").alias("node_count"))
-    now = F.unix_millis(F.current_timestamp())
     files = read.join(counts, "path", "left").select("path", "content_hash", "language", "size", "modified_at", now.alias("indexed_at"), F.coalesce("node_count", F.lit(0)).alias("node_count"), F.lit(None).cast("string").alias("errors"))
     snapshot.write(store, {"nodes": nodes, "edges": numbered, "files": files, "unresolved_refs": unresolved})
     g = snapshot.read(spark, store)

@@ -114,7 +114,8 @@ def python_ast(text: str) -> Extraction:
 _CLASS_WORDS = {"class": "class", "interface": "interface", "struct": "struct", "enum": "enum", "trait": "trait", "union": "struct", "record": "class", "module": "namespace", "namespace": "namespace", "mod": "namespace", "object": "class", "protocol": "interface", "mixin": "class", "extension": "class"}
 _SCOPE_OF = {"class": "class", "struct": "class", "interface": "class", "trait": "class", "enum": "class", "namespace": "module"}
 _FUNCTION_WORDS = {"function", "func", "fn", "fun", "def"}
-_NOT_CALLED = frozenset("if for while switch catch return function func fn fun def new match when until unless elsif and or not in of typeof sizeof super this await yield throw import require_relative else do case defer go select range print".split()) - {"print", "super"}
+# what stands before a bracket without being called, in languages that borrow another's lexer
+_NOT_CALLED = frozenset("if for while switch catch return function sizeof await foreach lock using when elif match guard".split())
 _MEMBER = frozenset([".", "->", "::", "?.", "&."])
 _TYPED = frozenset(["java", "c", "cpp", "csharp", "dart"])
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..model import NODE_COLUMNS
 
 # What is tried after an import's path, in order, by the importing language.
 SUFFIXES = {
@@ -46,7 +47,22 @@ def declaration_nodes(definitions: DataFrame, files: DataFrame) -> DataFrame:
     number = F.row_number().over(order)
     id_ = node_id(F.col("path"), F.col("key"))
     qualified = F.concat(F.col("path"), F.lit("::"), F.concat_ws(".", F.concat(F.coalesce("container", F.array().cast("array<string>")), F.array("name"))))
-    return d.withColumn("n", number).select(F.when(F.col("n") == 1, id_).otherwise(F.concat(id_, F.lit("#"), F.col("n"))).alias("id"), "kind", "name", qualified.alias("qualified_name"), F.col("path").alias("file_path"), "language", "start_line", "end_line", "is_exported")
+    return d.withColumn("n", number).select(F.when(F.col("n") == 1, id_).otherwise(F.concat(id_, F.lit("#"), F.col("n"))).alias("id"), "kind", "name", qualified.alias("qualified_name"), F.col("path").alias("file_path"), "language", "start_line", "end_line", "start_column", "end_column", "is_exported", "is_async", "is_static", F.to_json("decorators").alias("decorators"))
+
+
+def stored_nodes(nodes: DataFrame, updated_at: Column) -> DataFrame:
+    """The nodes with all columns of a stored graph: flags as 0/1, what extraction does not know as NULL."""
+    texts = {"docstring", "signature", "visibility", "decorators", "type_parameters"}
+    out = []
+    for c in NODE_COLUMNS:
+        if c == "updated_at":
+            out.append(updated_at.alias(c))
+        elif c in nodes.columns:
+            value = F.coalesce(F.col(c), F.lit(False)).cast("int") if c.startswith("is_") else F.coalesce(F.col(c), F.lit(0)) if c.endswith("_column") else F.col(c)
+            out.append(value.alias(c))
+        else:
+            out.append(F.lit(None).cast("string" if c in texts else "int").alias(c))
+    return nodes.select(*out)
 
 
 def contains_edges(definitions: DataFrame) -> DataFrame:

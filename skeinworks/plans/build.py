@@ -28,7 +28,7 @@ class Build:
         self.resolved_calls = resolution.resolved_calls(self.calls, self.declarations, self.resolved, self.imports)
 
     def nodes(self) -> DataFrame:
-        return resolution.file_nodes(self.files).unionByName(self.declarations)
+        return resolution.file_nodes(self.files).unionByName(self.declarations, allowMissingColumns=True)
 
     def edges(self) -> DataFrame:
         parts = [resolution.contains_edges(self.definitions), resolution.imports_edges(self.resolved), resolution.call_edges(self.resolved_calls), resolution.heritage_edges(self.heritage, self.declarations, self.resolved)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +22,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows, written once to the checkpoint folder: later uses read them, and a lost executor costs no recomputation."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of every executor, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    folder = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="package-")) / f"{folder.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(folder.rglob("*.py")):
+            z.write(file, file.relative_to(folder.parent))
+    context.addPyFile(str(archive))  # Spark serves it to the executors
+    _SHIPPED.add(context.applicationId)
