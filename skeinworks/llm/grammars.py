@@ -64,7 +64,7 @@ def _ecmascript(typed: bool) -> str:
         | 'try' block ('catch' ('(' bind {ann} ')')? block ('finally' block)? | 'finally' block)
         | function | decorated | id ':' stmt | 'export' 'default'? (function | decorated {tystmt}) {tystmt};
     sub: stmt;
-    last: simple | ('if' '(' expr ')' | 'for' '(' forhead ')' | 'while' '(' expr ')') last | 'if' '(' expr ')' sub 'else' last;
+    last: simple {"| 'export'? 'declare'? funchead" if typed else ""} | ('if' '(' expr ')' | 'for' '(' forhead ')' | 'while' '(' expr ')') last | 'if' '(' expr ')' sub 'else' last;
     simple: 'const' cdecl (',' cdecl)* | vardecl | exprs | 'return' expr? | 'break' id? | 'continue' id? | 'throw' expr | 'debugger'
         | import | 'export' ('const' cdecl (',' cdecl)* | vardecl | 'default' assign0 | {tyimport} names ('from' STR)? | {tyimport} '*' ('as' (name | STR))? 'from' STR) {tysimple};
     vardecl: ('let' | 'var') vdecl (',' vdecl)*;
@@ -85,7 +85,7 @@ def _ecmascript(typed: bool) -> str:
     decorated: decorator* {"'abstract'?" if typed else ""} class;
     class: 'class' id? {tpar} ('extends' opnd {targs})? {tyimplements} '{{' (member | NL)* lastfield? '}}';
     member: ';' | field e | decorator* mods* propname {mark} {tpar} '(' params ')' {ret} (block {"| e" if typed else ""}) | 'static' block {"| '[' id ':' type ']' ':' type e" if typed else ""};
-    lastfield: field;
+    lastfield: field {"| decorator* mods* propname '?'? typarams? '(' params ')' (':' rettype)?" if typed else ""};
     field: decorator* mods* propname {"('?' | '!')?" if typed else ""} {ann} ('=' assign)?;
     mods: {mods};
     propname: name | STR | NUM | '[' assign ']' | '#' name;
@@ -387,7 +387,8 @@ RUBY = f"""
     splat: '*'? expr | '*';
     expr: opnd (binop 'not'? opnd | '?' expr ':' expr | '?' expr SYM | ('..' | '...') opnd? | 'in' opnd | '=>' opnd)* | ('..' | '...') opnd;
     binop: {_words(_RUBY_BINARY)};
-    opnd: ('!' | '-' | '+' | '~' | '&' | '*' | '**' | 'defined' | '::' | 'not')* primary post* command?;
+    opnd: ('!' | '-' | '+' | '~' | '&' | '*' | '**' | 'defined' | '::' | 'not')* (primary post* | head command);
+    head: id | CONST | 'super' | 'yield' | primary post* ('.' | '&.' | '::') mname;
     primary: id | CONST | VAR | NUM | STR+ | SYM | RE | 'nil' | 'true' | 'false' | 'self' | '__method__' | '(' stmts ')' | '[' elems ']' | '{{' pairs '}}' | 'super' | 'yield' | lambda | compound
         | 'return' expr? | 'break' expr? | 'next' expr? | 'redo' | 'retry' | TPL;
     lambda: '->' ('(' params ')' | param (',' param)*)? ('{{' stmts '}}' | 'do' bodystmt 'end');
@@ -395,7 +396,8 @@ RUBY = f"""
     mname: id | CONST | {_words(KEY := "alias and begin break case class def defined do else elsif end ensure false for if in module next nil not or redo rescue retry return self super then true undef unless until when while yield")} | {_words("+ - * / % == != < <= > >= << [ !")};
     block: '{{' bparams? stmts '}}' | 'do' bparams? bodystmt 'end';
     bparams: '|' params (';' id (',' id)*)? '|' | '||';
-    command: (primary1 post* command? | (id | CONST | STR) ':' expr? | lambda post*) ('=>' expr)? (',' callarg)* block*;
+    command: (primary1 post* | head1 command | (id | CONST | STR) ':' expr? | lambda post*) ('=>' expr)? (',' callarg)* block*;
+    head1: id | CONST | primary1 post* ('.' | '&.' | '::') mname;
     primary1: id | CONST | VAR | NUM | STR+ | SYM | RE | 'nil' | 'true' | 'false' | 'self' | compound;
     tail: binop 'not'? opnd | '?' expr ':' expr | ('..' | '...') opnd?;
     callargs: (callarg (',' callarg)* ','?)?;

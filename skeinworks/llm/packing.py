@@ -72,9 +72,7 @@ def _reduce(h: Histogram, capacity: int, plan: list[tuple[int, dict[int, int]]])
     at most two more fit, and the pair of the two largest choices bounds both
     members of every feasible pair -- {s, largest, second} dominates.
     """
-    kept: dict[int, int] = {}
-    waiting = list(reversed(h.sizes))
-    for s in waiting:
+    for s in list(reversed(h.sizes)):
         while s in h.count:
             c, r = h.count[s], capacity - s
             h.take(s, 1)  # the item itself is no choice beside it
@@ -107,18 +105,13 @@ def _reduce(h: Histogram, capacity: int, plan: list[tuple[int, dict[int, int]]])
                     content = {s: 1}
                     for x in (k, b):
                         content[x] = content.get(x, 0) + 1
-                elif not fits and half and half[-1] * 2 <= k:
-                    content = {s: 1}
-                    content[k] = content.get(k, 0) + 1
             if content is None:
-                kept[s] = kept.get(s, 0) + c
-                h.take(s, c)
-                break
+                break  # it stays a choice beside others
             times = min(h.count[x] // n for x, n in content.items())
             plan.append((times, content))
             for x, n in content.items():
                 h.take(x, times * n)
-    return Histogram(kept)
+    return h
 
 
 def _best_fit(h: Histogram, capacity: int, plan: list[tuple[int, dict[int, int]]]) -> None:
@@ -165,13 +158,11 @@ def _best_fit(h: Histogram, capacity: int, plan: list[tuple[int, dict[int, int]]
 def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """``(number of containers, {size: items in each})`` for a histogram of sizes from 1 to the capacity."""
     plan: list[tuple[int, dict[int, int]]] = []
-    # shrink until no set dominates any more
     left = Histogram(dict(counts))
-    while left.count:
-        before = sum(left.count.values())
+    fixed = -1
+    while fixed != len(plan):  # shrink until no set dominates any more
+        fixed = len(plan)
         left = _reduce(left, capacity, plan)
-        if sum(left.count.values()) == before:
-            break
     _best_fit(left, capacity, plan)
     return plan
 
