@@ -24,8 +24,12 @@ def walk(edges: DataFrame, origins: DataFrame, depth: int, incoming: bool, kinds
     """``id, distance, via, edge_id`` of every node within ``depth``, origins (``id``) included with distance 0, and whether
     the budget of nodes ran out.  Each node has its least distance and the kind of the first edge (least edge id) that
     reached it.  A budget is filled level by level, in the order of those edges; origins count."""
+    return _walk(cut_lineage(_usable(edges, kinds)), origins, depth, incoming, budget)
+
+
+def _walk(e: DataFrame, origins: DataFrame, depth: int, incoming: bool, budget: int | None, goal: str | None = None) -> tuple[DataFrame, bool]:
+    """As :func:`walk` over edges that are written already; ends with the level that reaches ``goal``."""
     near, far = ("target", "source") if incoming else ("source", "target")
-    e = _usable(edges, kinds)
     seen = cut_lineage(origins.where("id IS NOT NULL").select("id").distinct().selectExpr("id", "0 AS distance", "CAST(NULL AS STRING) AS via", "CAST(NULL AS BIGINT) AS edge_id"))
     frontier, exhausted = seen.select(F.col("id").alias(near)), False
     left = None if budget is None else budget - seen.count()
@@ -46,6 +50,8 @@ def walk(edges: DataFrame, origins: DataFrame, depth: int, incoming: bool, kinds
         if new.isEmpty():
             break
         seen = seen.unionByName(new)
+        if goal is not None and not new.where(F.col("id") == goal).isEmpty():
+            break
         frontier = new.select(F.col("id").alias(near))
         if exhausted:
             break
@@ -76,14 +82,16 @@ def trace(edges: DataFrame, nodes: DataFrame, start: str, goal: str, max_depth:
     if start == goal:
         return spark.createDataFrame([(1, [(start, None, None)])], schema)
     origin = spark.createDataFrame([(start,)], "id string")
-    seen, _ = walk(edges, origin, max_depth, False, kinds, budget)
+    e = cut_lineage(_usable(edges, kinds))
+    seen, _ = _walk(e, origin, max_depth, False, budget, goal)
     found = seen.where(F.col("id") == goal).select("distance").first()
     if found is None:
         return spark.createDataFrame([], schema)
     length = found["distance"]
-    step = _usable(edges, kinds).groupBy("source", "target").agg(F.min("edge_id").alias("edge_id"), F.min_by("kind", "edge_id").alias("kind"))
+    step = e.groupBy("source", "target").agg(F.min("edge_id").alias("edge_id"), F.min_by("kind", "edge_id").alias("kind"))
     near = seen.select(F.col("id").alias("source"), F.col("distance").alias("d"))
-    layered = cut_lineage(step.join(near, "source").join(seen.select(F.col("id").alias("target"), F.col("distance").alias("e")), "target").where("e = d + 1").select("source", "target", "edge_id", "kind", "d"))
+    after = seen.select(F.col("id").alias("target"), F.col("distance").alias("d2"))
+    layered = cut_lineage(step.join(near, "source").join(after, "target").where("d2 = d + 1").select("source", "target", "edge_id", "kind", "d"))
     # backwards from the goal: only edges on a shortest path stay
     useful, at = [], spark.createDataFrame([(goal,)], "target string")
     for level in range(length - 1, -1, -1):

@@ -39,3 +39,12 @@ def ship_package(spark: SparkSession) -> None:
             z.write(file, file.relative_to(folder.parent))
     context.addPyFile(str(archive))  # Spark serves it to the executors
     _SHIPPED.add(context.applicationId)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with work for every core: tables in few large files would keep most of them idle in a slow step.
+
+    Only for scans -- the number of a shuffle's partitions is not known before it runs.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores)
