@@ -26,7 +26,7 @@ from math import ceil, floor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from . import tokens
 from .sources import small_batches
 
@@ -74,7 +74,7 @@ def _ordered(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: in
     """Each wanted text once, with the tokens of its source before it; and the tokens of each source."""
     name = F.lower(F.trim("source"))
     wanted = targets.select(F.col("source").alias("wanted"))
-    small = small_batches(documents.where("text IS NOT NULL AND text <> ''").select(name.alias("source"), "doc_id", "text"), 2000)
+    small = small_batches(spread(documents.where("text IS NOT NULL AND text <> ''").select(name.alias("source"), "doc_id", "text")), 2000)
     # the targets are few by their nature, but their number is not proven: the optimizer measures and chooses the join
     mine = small.join(wanted, small["source"] == wanted["wanted"], "left_semi")
     digest = F.sha2("text", 256)

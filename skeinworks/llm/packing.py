@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from . import tokens
 from .sources import small_batches
 
@@ -181,7 +181,7 @@ def slots(plan: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int, i
 
 def sized_items(documents: DataFrame, container_sizes: DataFrame, vocabulary: str) -> DataFrame:
     """``container, capacity_tokens, doc_id, piece, n_tokens``: every text, or its pieces, for each container."""
-    texts = small_batches(documents.where("text IS NOT NULL").select("doc_id", "text"), 2000)
+    texts = small_batches(spread(documents.where("text IS NOT NULL").select("doc_id", "text")), 2000)
     sized = tokens.with_token_count(texts, vocabulary).select("doc_id", "n_tokens")
     kinds = container_sizes.where("container IS NOT NULL AND capacity_tokens > 0").groupBy("container").agg(F.min("capacity_tokens").cast("long").alias("capacity_tokens"))
     # the few kinds of container become an array literal: each text is repeated per kind without a join

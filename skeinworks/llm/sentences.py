@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from .sources import small_batches
 
 SCHEMA = "doc_id long, sentence_no int, start_char long, end_char long, unit string"
@@ -321,4 +322,4 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sentences(documents: DataFrame) -> DataFrame:
     """``doc_id, sentence_no, start_char, end_char, unit``: the sentences of every document, in order."""
-    return small_batches(documents.select("doc_id", "text")).mapInArrow(_split, SCHEMA)
+    return small_batches(spread(documents.select("doc_id", "text"))).mapInArrow(_split, SCHEMA)
