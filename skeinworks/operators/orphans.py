@@ -91,7 +91,7 @@ def _surviving(rows: pa.Table) -> pa.Table:
 
 
 def _usable(key: Column) -> Column:
-    return key.isNotNull() & (F.trim(key) != "")
+    return key.isNotNull() & key.rlike(r"[^\s\u00a0\u3000]")
 
 
 def references(edges: DataFrame, unresolved_refs: DataFrame, files: DataFrame) -> DataFrame:

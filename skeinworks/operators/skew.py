@@ -10,6 +10,8 @@ of a hot key.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,5 +37,5 @@ def hot_keys(edges: DataFrame, share: float = 0.01) -> DataFrame:
     total is one number, fetched from the table's own row count.
     """
     total = edges.count()
-    named = "target IS NOT NULL AND trim(target) <> ''"
-    return key_profile(edges).where(named).where(F.col("n_sites") >= F.lit(total * share))
+    named = F.col("target").rlike(r"[^\s\u00a0\u3000]")  # neither NULL nor blank
+    return key_profile(edges).where(named).where(F.col("n_sites") >= math.ceil(total * share - 1e-6))
