@@ -44,7 +44,6 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _HAN = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾝ]")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_]+")
 _ARTICLES = frozenset("a an the".split())
-_MARK = re.compile(r"^\s*(?:/\*+!?|//+!?|\#+!?(?!\[)|\*+/|\*(?!\*)|;+|--(?!-))?\s?|\s*\*+/\s*$")
 
 
 def clean(comment: str) -> list[str]:
