@@ -72,10 +72,6 @@ PATTERNS = {
 #: Whether findall gives more than one group, of which the first is the token.
 _GROUPED = {name: p.groups > 1 for name, p in PATTERNS.items()}
 
-#: How comments begin.
-LINE_COMMENT = {"python": "#", "ruby": "#"}
-BLOCK_COMMENT = {"python": "", "ruby": "=begin"}
-
 
 def tokens(text: str, language: str) -> list[str]:
     """The tokens of a text, line breaks and comments included; text between them is white space."""
