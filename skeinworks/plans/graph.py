@@ -224,6 +224,11 @@ def context_terms(spark, folder):
     return text.terms(table(spark, folder, "documents").where("lang = 'en'"), "doc_id", "text", model.CONTEXT_TERMS)
 
 
+def context_terms_all(spark, folder):
+    """Every document is a task, whatever its language."""
+    return text.terms(table(spark, folder, "documents"), "doc_id", "text", model.CONTEXT_TERMS)
+
+
 def context_ranked(spark, folder):
     return compose.context_entries(nodes(spark, folder), spark.createDataFrame([(1, TASK)], "task_id int, task string"), model.CONTEXT_TERMS, 50, model.MAX_LIMIT)
 
@@ -245,4 +250,4 @@ def symbol_view(spark, folder):
     return nodes(spark, folder).select("name", "qualified_name", "kind", "language", F.col("file_path").alias("path"), F.col("start_line").alias("line"), doc.alias("docstring"), text.clip(model.optional_text("signature"), model.SIGNATURE_CHARS).alias("signature"), model.flag("is_exported").alias("exported"), model.flag("is_abstract").alias("abstract"))
 
 
-QUERIES = (symbol_resolve, search_like, search_fts, search_ranked, search_filtered, search_total, relations_in, relations_out, callers, callees, node_neighbourhood, relations_total_dangling, impact_d1, impact_d3, impact_calls_only, impact_truncated, impact_rendered, trace_shortest, trace_self, files_all, files_subtree, files_glob, status_counts, status_languages, status_stale, file_records, exclusion_filter, gitignore_match, declarations_per_file, span_per_file, explore_groups, explore_slices, source_slice, clip_text, context_terms, context_ranked, debounce_sessions, json_array_validate, symbol_view)
+QUERIES = (symbol_resolve, search_like, search_fts, search_ranked, search_filtered, search_total, relations_in, relations_out, callers, callees, node_neighbourhood, relations_total_dangling, impact_d1, impact_d3, impact_calls_only, impact_truncated, impact_rendered, trace_shortest, trace_self, files_all, files_subtree, files_glob, status_counts, status_languages, status_stale, file_records, exclusion_filter, gitignore_match, declarations_per_file, span_per_file, explore_groups, explore_slices, source_slice, clip_text, context_terms, context_terms_all, context_ranked, debounce_sessions, json_array_validate, symbol_view)

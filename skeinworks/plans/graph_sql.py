@@ -134,6 +134,7 @@ SQL = {
     "source_slice": f"{WITH}, d AS (SELECT id, file_path, start_line AS span_start, end_line AS span_end FROM n WHERE kind <> 'file'), x AS ({_slice('text', 'span_start', 'span_end', 5, 200)} FROM d LEFT JOIN source_texts s ON s.path = d.file_path) SELECT id, left(cut, 200) AS code, CAST(a AS INTEGER) AS code_start_line, coalesce(b - a + 1 > 5 OR length(cut) > 200, false) AS truncated FROM x",
     "clip_text": f"SELECT doc_id, CASE WHEN length(text) > {DOC_CHARS} THEN left(text, {DOC_CHARS}) || '…' ELSE text END AS clipped FROM documents",
     "context_terms": f"WITH d AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), {_terms('d', 'doc_id', 'text')} SELECT * FROM t",
+    "context_terms_all": f"WITH {_terms('documents', 'doc_id', 'text')} SELECT * FROM t",
     "context_ranked": f"{WITH}, task AS (SELECT 1 AS task_id, '{TASK}' AS task), {_terms('task', 'task_id', 'task')}, hits AS (SELECT term, id, kind, CAST(row_number() OVER (PARTITION BY term ORDER BY {HIT_TIER}, {KIND_RANK}, coalesce(is_exported, 0) DESC, file_path NULLS FIRST, start_line NULLS FIRST, id) AS INTEGER) AS pos FROM n JOIN t ON contains(lower(qualified_name), lower(term)) OR contains(lower(name), lower(term)) QUALIFY pos <= 50) SELECT id, CAST(count(DISTINCT term) AS BIGINT) AS hits, min(pos) AS best FROM hits WHERE kind NOT IN ({', '.join(repr(k) for k in STRUCTURAL_KINDS)}) GROUP BY id ORDER BY 2 DESC, 3, 1 LIMIT {MAX_LIMIT}",
     "debounce_sessions": "WITH m AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM m) SELECT user_id, min(ts) AS started_at, max(ts) + INTERVAL 2 HOURS AS flushed_at, CAST(count(*) AS BIGINT) AS n_events, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM s GROUP BY user_id, session",
     "json_array_validate": "WITH j AS (SELECT decorators AS json FROM nodes UNION ALL SELECT errors FROM files UNION ALL SELECT metadata FROM edges), c AS (SELECT CASE WHEN json IS NULL OR json = '' THEN 'empty' WHEN NOT json_valid(json) THEN 'unparseable' WHEN json_type(json) <> 'ARRAY' THEN 'not_array' WHEN len(list_filter(json_extract(json, '$[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0 THEN 'bad_element' ELSE 'ok' END AS state FROM j) SELECT state, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY state",
