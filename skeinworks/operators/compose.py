@@ -26,19 +26,20 @@ def span_per_file(nodes: DataFrame) -> DataFrame:
     return nodes.where("kind <> 'file'").groupBy("file_path").agg(F.count("*").alias("n"), F.min("start_line").alias("span_start"), F.max("end_line").alias("span_end"))
 
 
-def slice_lines(body: Column, start: Column, end: Column, max_lines: int, max_chars: int) -> tuple[Column, Column, Column]:
-    """``code, first line, truncated`` of lines start..end: first the lines are capped, then the characters.  NULL text gives
-    NULL code and is not truncated."""
+def slice_lines(body: Column, start: Column, end: Column, max_lines: int | None, max_chars: int | None) -> tuple[Column, Column, Column]:
+    """``code, first line, truncated`` of lines start..end: first the lines are capped, then the characters; None is no cap.
+    NULL text gives NULL code and is not truncated."""
     lines = F.split(body, "\n")
     first = F.greatest(F.lit(1), start)
     last = F.least(F.size(lines), F.greatest(first, end))
     count = F.greatest(F.lit(0), last - first + 1)
-    cut = F.array_join(F.slice(lines, first, F.least(count, F.lit(max_lines))), "\n")
-    truncated = (count > max_lines) | (F.length(cut) > max_chars)
-    return F.left(cut, F.lit(max_chars)), first, F.coalesce(truncated, F.lit(False))
+    cut = F.array_join(F.slice(lines, first, count if max_lines is None else F.least(count, F.lit(max_lines))), "\n")
+    beyond_lines = F.lit(False) if max_lines is None else count > max_lines
+    beyond_chars = F.lit(False) if max_chars is None else F.length(cut) > max_chars
+    return cut if max_chars is None else F.left(cut, F.lit(max_chars)), first, F.coalesce(beyond_lines | beyond_chars, F.lit(False))
 
 
-def source_slices(spans: DataFrame, source_texts: DataFrame, max_lines: int, max_chars: int) -> DataFrame:
+def source_slices(spans: DataFrame, source_texts: DataFrame, max_lines: int | None, max_chars: int | None) -> DataFrame:
     """Adds ``code, code_start_line, truncated`` to rows with ``file_path, span_start, span_end``."""
     joined = spans.join(source_texts.select(F.col("path").alias("file_path"), F.col("text").alias("_text")), "file_path", "left")
     code, first, truncated = slice_lines(F.col("_text"), F.col("span_start"), F.col("span_end"), max_lines, max_chars)

@@ -216,6 +216,12 @@ def source_slice(spark, folder):
     return compose.source_slices(n, table(spark, folder, "source_texts"), 5, 200).select("id", "code", "code_start_line", "truncated")
 
 
+def source_whole(spark, folder):
+    """All lines of every declaration."""
+    n = nodes(spark, folder).where("kind <> 'file'").select("id", "file_path", F.col("start_line").alias("span_start"), F.col("end_line").alias("span_end"))
+    return compose.source_slices(n, table(spark, folder, "source_texts"), None, None).select("id", "code", "code_start_line")
+
+
 def clip_text(spark, folder):
     return table(spark, folder, "documents").select("doc_id", text.clip(F.col("text"), model.DOC_CHARS).alias("clipped"))
 
@@ -250,4 +256,4 @@ def symbol_view(spark, folder):
     return nodes(spark, folder).select("name", "qualified_name", "kind", "language", F.col("file_path").alias("path"), F.col("start_line").alias("line"), doc.alias("docstring"), text.clip(model.optional_text("signature"), model.SIGNATURE_CHARS).alias("signature"), model.flag("is_exported").alias("exported"), model.flag("is_abstract").alias("abstract"))
 
 
-QUERIES = (symbol_resolve, search_like, search_fts, search_ranked, search_filtered, search_total, relations_in, relations_out, callers, callees, node_neighbourhood, relations_total_dangling, impact_d1, impact_d3, impact_calls_only, impact_truncated, impact_rendered, trace_shortest, trace_self, files_all, files_subtree, files_glob, status_counts, status_languages, status_stale, file_records, exclusion_filter, gitignore_match, declarations_per_file, span_per_file, explore_groups, explore_slices, source_slice, clip_text, context_terms, context_terms_all, context_ranked, debounce_sessions, json_array_validate, symbol_view)
+QUERIES = (symbol_resolve, search_like, search_fts, search_ranked, search_filtered, search_total, relations_in, relations_out, callers, callees, node_neighbourhood, relations_total_dangling, impact_d1, impact_d3, impact_calls_only, impact_truncated, impact_rendered, trace_shortest, trace_self, files_all, files_subtree, files_glob, status_counts, status_languages, status_stale, file_records, exclusion_filter, gitignore_match, declarations_per_file, span_per_file, explore_groups, explore_slices, source_slice, source_whole, clip_text, context_terms, context_terms_all, context_ranked, debounce_sessions, json_array_validate, symbol_view)

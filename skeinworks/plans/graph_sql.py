@@ -132,6 +132,7 @@ SQL = {
     "explore_groups": f"{WITH}, {RANKED}, {GROUPS} SELECT * FROM g",
     "explore_slices": f"{WITH}, {RANKED}, {GROUPS}, x AS ({_slice('text', 'span_start', 'span_end', SOURCE_LINES, SOURCE_CHARS)} FROM g LEFT JOIN source_texts s ON s.path = g.file_path) SELECT file_path, file_rank, left(cut, {SOURCE_CHARS}) AS code, CAST(a AS INTEGER) AS code_start_line, coalesce(b - a + 1 > {SOURCE_LINES} OR length(cut) > {SOURCE_CHARS}, false) AS truncated FROM x",
     "source_slice": f"{WITH}, d AS (SELECT id, file_path, start_line AS span_start, end_line AS span_end FROM n WHERE kind <> 'file'), x AS ({_slice('text', 'span_start', 'span_end', 5, 200)} FROM d LEFT JOIN source_texts s ON s.path = d.file_path) SELECT id, left(cut, 200) AS code, CAST(a AS INTEGER) AS code_start_line, coalesce(b - a + 1 > 5 OR length(cut) > 200, false) AS truncated FROM x",
+    "source_whole": f"{WITH}, d AS (SELECT id, file_path, greatest(1, start_line) AS a, greatest(1, start_line, end_line) AS b FROM n WHERE kind <> 'file') SELECT id, array_to_string(list_slice(string_split(text, chr(10)), a, b), chr(10)) AS code, CAST(a AS INTEGER) AS code_start_line FROM d LEFT JOIN source_texts s ON s.path = d.file_path",
     "clip_text": f"SELECT doc_id, CASE WHEN length(text) > {DOC_CHARS} THEN left(text, {DOC_CHARS}) || '…' ELSE text END AS clipped FROM documents",
     "context_terms": f"WITH d AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), {_terms('d', 'doc_id', 'text')} SELECT * FROM t",
     "context_terms_all": f"WITH {_terms('documents', 'doc_id', 'text')} SELECT * FROM t",

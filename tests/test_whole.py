@@ -1,5 +1,7 @@
 """Queries and stages that do the whole job where an older one is bounded."""
 
+from conftest import node
+
 from skeinworks.plans import registry
 
 
@@ -8,3 +10,13 @@ def test_terms_of_documents_in_every_language(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["doc_id"], r["term"], r["ord"]) for r in registry.queries()["context_terms_all"](spark, str(tmp_path)).collect()}
     assert got == {(1, "beacon", 1), (1, "drains", 2), (2, "теряет", 1), (2, "Маяк", 2), (2, "окно", 3), (3, "beacon", 1), (3, "harbor", 2), (4, "harbor", 1), (4, "window", 2)}
+
+
+def test_whole_declarations(spark, make, tmp_path):
+    body = "".join(f"line {i} " + "x" * 50 + "\n" for i in range(1, 401))
+    nodes = [node("a", line=3, end=398), node("b", line=400, end=999), node("c", line=1, end=1, path="r/none.ts"), node("f", kind="file", line=1, end=400)]
+    make("nodes", nodes).write.parquet(str(tmp_path / "nodes.parquet"))
+    make("texts", [("r/a.ts", body)]).write.parquet(str(tmp_path / "source_texts.parquet"))
+    got = {r["id"]: (r["code"], r["code_start_line"]) for r in registry.queries()["source_whole"](spark, str(tmp_path)).collect()}
+    lines = body.split("\n")
+    assert got == {"a": ("\n".join(lines[2:398]), 3), "b": (lines[399] + "\n", 400), "c": (None, 1)}
