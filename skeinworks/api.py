@@ -176,12 +176,13 @@ class Graph:
         return {"operation": "context", "task": task, "entry_points": [_view(r) for r in rows], "related": list(related.values())[: self.limit]}
 
 
-def index(spark: SparkSession, root: str, store: str) -> dict:
-    """Walks a source tree, extracts, resolves and stores its graph; reports what was done."""
+def index(spark: SparkSession, root: str, store: str, max_files: int | None = None, max_bytes: int | None = None) -> dict:
+    """Walks a source tree, extracts, resolves and stores its graph; reports what was done.  Every file counts, unless a caller
+    bounds their number or size."""
     if not tree.available(root):
         raise model.GraphError("NO_INDEXER", f"{root} is no folder")
-    found, overflow = tree.discover(tree.listing(spark, root), gitignore.load(root))
-    read, skipped = tree.read_files(found)
+    found, overflow = tree.discover(tree.listing(spark, root), gitignore.load(root), max_files=max_files)
+    read, skipped = tree.read_files(found, max_bytes)
     build = Build(read)
     now = F.unix_millis(F.current_timestamp())
     nodes, edges, unresolved = resolution.stored_nodes(build.nodes(), now), build.edges(), build.unresolved()

@@ -10,7 +10,6 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import MAX_FILE_BYTES, MAX_FILES
 from ..operators.extract import language_of
 from . import gitignore
 
@@ -34,13 +33,15 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(F.substr(path, F.lit(len(base) + 2)).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_at"), "content")
 
 
-def discover(listed: DataFrame, rules: list[gitignore.Rule], excluded: tuple[str, ...] = EXCLUDED_FOLDERS, languages: list[str] | None = None, max_files: int = MAX_FILES) -> tuple[DataFrame, DataFrame]:
-    """The files a walk keeps -- of a known and enabled language, not excluded, not ignored, the first ``max_files`` by path --
-    and one row with how many were beyond that."""
+def discover(listed: DataFrame, rules: list[gitignore.Rule], excluded: tuple[str, ...] = EXCLUDED_FOLDERS, languages: list[str] | None = None, max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The files a walk keeps -- of a known and enabled language, not excluded, not ignored, and where a caller sets
+    ``max_files`` only the first so many by path -- and one row with how many were beyond that."""
     path = F.col("path")
     kept = listed.withColumn("language", language_of(path)).where("language IS NOT NULL")
     kept = kept.where(~gitignore.excluded_by_name(path, excluded) & ~gitignore.ignored(path, rules))
     kept = kept.where(F.col("language").isin(*languages)) if languages is not None else kept
+    if max_files is None:
+        return kept, listed.sparkSession.createDataFrame([(0,)], "overflow long")
     count = kept.agg(F.greatest(F.count("*") - max_files, F.lit(0)).alias("overflow"))
     return kept.orderBy("path").limit(max_files), count
 
@@ -50,12 +51,13 @@ def file_text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def read_files(found: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
-    """``path, language, size, modified_at, text, content_hash, line_count`` of the files up to ``max_bytes``, and one row with
-    how many were larger."""
+def read_files(found: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``path, language, size, modified_at, text, content_hash, line_count`` of the files, where a caller sets ``max_bytes``
+    only of those up to it, and one row with how many were larger."""
     text = file_text(F.col("content"))
-    small = found.where(F.col("size") <= max_bytes).select("path", "language", "size", "modified_at", text.alias("text"))
-    skipped = found.agg(F.count_if(F.col("size") > max_bytes).alias("skipped"))
+    kept = found if max_bytes is None else found.where(F.col("size") <= max_bytes)
+    skipped = found.sparkSession.createDataFrame([(0,)], "skipped long") if max_bytes is None else found.agg(F.count_if(F.col("size") > max_bytes).alias("skipped"))
+    small = kept.select("path", "language", "size", "modified_at", text.alias("text"))
     return small.withColumn("content_hash", F.sha2("text", 256)).withColumn("line_count", F.size(F.split("text", "\n"))), skipped
 
 

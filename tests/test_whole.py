@@ -1,8 +1,11 @@
 """Queries and stages that do the whole job where an older one is bounded."""
 
 from conftest import node
+from pyspark.sql import functions as F
 
+from skeinworks import api
 from skeinworks.plans import registry
+from skeinworks.sources import snapshot, tree
 
 
 def test_terms_of_documents_in_every_language(spark, tmp_path):
@@ -20,3 +23,22 @@ def test_whole_declarations(spark, make, tmp_path):
     got = {r["id"]: (r["code"], r["code_start_line"]) for r in registry.queries()["source_whole"](spark, str(tmp_path)).collect()}
     lines = body.split("\n")
     assert got == {"a": ("\n".join(lines[2:398]), 3), "b": (lines[399] + "\n", 400), "c": (None, 1)}
+
+
+def test_walk_keeps_every_file(spark):
+    listed = spark.range(50_001).select(F.format_string("f%d.py", "id").alias("path"), F.lit(3_000_000).cast("long").alias("size"), F.lit(1).cast("long").alias("modified_at"), F.lit(b"x = 1").alias("content"))
+    found, overflow = tree.discover(listed, [])
+    read, skipped = tree.read_files(found)
+    assert read.count() == 50_001 and overflow.first()[0] == 0 and skipped.first()[0] == 0
+
+
+def test_index_of_a_file_beyond_two_megabytes(spark, tmp_path):
+    root = tmp_path / "w"
+    root.mkdir()
+    (root / "big.py").write_text("# " + "x" * 2_000_100 + "\ndef tail():\n    pass\n")
+    (root / "small.py").write_text("def tail():\n    pass\n\ndef main():\n    pass\n")
+    report = api.index(spark, str(root), str(tmp_path / "graph"))
+    assert (report["files_indexed"], report["files_skipped"]) == (2, 0)
+    assert snapshot.read(spark, str(tmp_path / "graph"))["nodes"].where("name = 'tail'").count() == 2
+    bounded = api.index(spark, str(root), str(tmp_path / "bounded"), max_bytes=2_000_000)
+    assert (bounded["files_indexed"], bounded["files_skipped"]) == (1, 1)
