@@ -94,18 +94,22 @@ def _usable(key: Column) -> Column:
     return key.isNotNull() & key.rlike(r"[^\s\u00a0\u3000]")
 
 
+def _newest_runs(files: DataFrame) -> DataFrame:
+    return files.where("path IS NOT NULL").groupBy(F.col("path").alias("file_path")).agg(F.max("indexed_at").alias("indexed_at"))
+
+
 def references(edges: DataFrame, unresolved_refs: DataFrame, files: DataFrame) -> DataFrame:
-    """``ref_table, row_id, field, key, period``: every reference that is neither NULL nor blank.
+    """``ref_table, row_id, field, key, period, at``: every reference that is neither NULL nor blank.
 
-    ``period`` is the month of ``recorded_at``, or of the newest ``indexed_at``
-    of the reference's file; NULL where there is none.
+    ``at`` is ``recorded_at``, or the newest ``indexed_at`` of the reference's
+    file, in epoch milliseconds, and ``period`` its month; NULL where there is none.
     """
     month = lambda t: F.date_format(t, "yyyy-MM")
     sides = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("key")) for f in ("source", "target")]))
-    of_edges = edges.select(F.lit("edges").alias("ref_table"), F.col("id").cast("long").alias("row_id"), month("recorded_at").alias("period"), sides.alias("s")).select("ref_table", "row_id", "s.field", "s.key", "period")
-    indexed = files.where("path IS NOT NULL").groupBy(F.col("path").alias("file_path")).agg(F.max("indexed_at").alias("indexed_at"))
+    of_edges = edges.select(F.lit("edges").alias("ref_table"), F.col("id").cast("long").alias("row_id"), month("recorded_at").alias("period"), F.unix_millis(F.col("recorded_at").cast("timestamp")).alias("at"), sides.alias("s")).select("ref_table", "row_id", "s.field", "s.key", "period", "at")
+    indexed = _newest_runs(files)
     refs = unresolved_refs.select("id", "source", "file_path").where(_usable(F.col("source"))).join(indexed, "file_path", "left")
-    of_refs = refs.select(F.lit("unresolved_refs").alias("ref_table"), F.col("id").cast("long").alias("row_id"), F.lit("source").alias("field"), F.col("source").alias("key"), month(F.timestamp_millis("indexed_at")).alias("period"))
+    of_refs = refs.select(F.lit("unresolved_refs").alias("ref_table"), F.col("id").cast("long").alias("row_id"), F.lit("source").alias("field"), F.col("source").alias("key"), month(F.timestamp_millis("indexed_at")).alias("period"), F.col("indexed_at").alias("at"))
     return of_edges.where(_usable(F.col("key"))).unionByName(of_refs)
 
 
@@ -134,3 +138,26 @@ def dangling_report(edges: DataFrame, unresolved_refs: DataFrame, nodes: DataFra
     keys = orphan_keys(refs, nodes, 2 * edges.count() + unresolved_refs.count() + nodes.count())
     by_key = keys.groupBy("ref_table", "period", "key").agg(F.sum("n").alias("n"))
     return by_key.groupBy("ref_table", "period").agg(F.sum("n").alias("n_references"), F.count("*").alias("n_keys"))
+
+
+def late_nodes(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """``key, since``: ids that are held only by rows with an ``updated_at`` after the newest run of their file, with the first of
+    these times.  A row without a time or without a run of its file counts as held."""
+    held = F.coalesce(F.col("updated_at") <= F.col("indexed_at"), F.lit(True))
+    rows = nodes.where("id IS NOT NULL").select("id", "file_path", "updated_at").join(_newest_runs(files), "file_path", "left")
+    return rows.groupBy(F.col("id").alias("key")).agg(F.bool_or(held).alias("held"), F.min("updated_at").alias("since")).where("NOT held").select("key", "since")
+
+
+def dangling_periods(edges: DataFrame, unresolved_refs: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """``ref_table, period, n_missing, n_missing_keys, n_later, n_later_keys``: references, as stored, and different keys per table
+    and month, to ids that no node has, and to ids that a node has only from a later run.
+
+    A node is of a later run if it came after the newest run of its file and
+    after the reference; a reference without a time counts as before it.  Times
+    are compared exactly, as a node and a reference may share their month.
+    """
+    missing = dangling_report(edges, unresolved_refs, nodes, files).select("ref_table", "period", F.col("n_references").alias("n_missing"), F.col("n_keys").alias("n_missing_keys"), F.lit(0).cast("long").alias("n_later"), F.lit(0).cast("long").alias("n_later_keys"))
+    refs = references(edges, unresolved_refs, files).join(late_nodes(nodes, files), "key").where("at IS NULL OR at < since")
+    later = refs.groupBy("ref_table", "period", "key").agg(F.count("*").alias("n")).groupBy("ref_table", "period").agg(F.sum("n").alias("n_later"), F.count("*").alias("n_later_keys"))
+    both = missing.unionByName(later.withColumns({"n_missing": F.lit(0).cast("long"), "n_missing_keys": F.lit(0).cast("long")}))
+    return both.groupBy("ref_table", "period").agg(*[F.sum(x).alias(x) for x in ("n_missing", "n_missing_keys", "n_later", "n_later_keys")])

@@ -33,5 +33,9 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphans.dangling_report(*_graph(spark, folder))
 
 
+def p3_periods(spark: SparkSession, folder: str) -> DataFrame:
+    return orphans.dangling_periods(*_graph(spark, folder))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_report, *graph.QUERIES, *build.QUERIES)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_report, p3_periods, *graph.QUERIES, *build.QUERIES)}

@@ -1,9 +1,12 @@
 """Queries and stages that do the whole job where an older one is bounded."""
 
-from conftest import node
+import datetime
+
+from conftest import edge, node
 from pyspark.sql import functions as F
 
 from skeinworks import api
+from skeinworks.operators import orphans
 from skeinworks.plans import registry
 from skeinworks.sources import snapshot, tree
 
@@ -42,3 +45,14 @@ def test_index_of_a_file_beyond_two_megabytes(spark, tmp_path):
     assert snapshot.read(spark, str(tmp_path / "graph"))["nodes"].where("name = 'tail'").count() == 2
     bounded = api.index(spark, str(root), str(tmp_path / "bounded"), max_bytes=2_000_000)
     assert (bounded["files_indexed"], bounded["files_skipped"]) == (1, 1)
+
+
+def test_references_to_nodes_of_a_later_run(make):
+    run, day = 1704067200000, 86_400_000  # 2024-01-01
+    at = lambda n: datetime.datetime(2024, 1, n)
+    nodes = make("nodes", [node("n", updated=run), node("late", updated=run + 10 * day), node("both", updated=run + 10 * day), node("both", updated=run - day), node("free", path="nowhere", updated=run + 10 * day)])
+    files = make("files", [("r/a.ts", "h", "typescript", 1, 1, run, 0, None), ("r/a.ts", "g", "typescript", 1, 1, 1, 0, None)])
+    edges = make("edges", [edge(1, "n", "late", at=at(2)), edge(1, "n", "late", at=at(2)), edge(2, "late", "gone", at=at(2)), edge(3, "both", "free", at=at(2)), edge(4, "n", "late", at=at(20)), edge(5, "n", "late"), edge(6, "gone", " ", at=at(3))])
+    refs = make("refs", [(7, "late", "r/a.ts", "f", 1, 1), (8, "gone", "r/a.ts", "f", 1, 1), (9, "n", "r/a.ts", "f", 1, 1)])
+    got = {(r["ref_table"], r["period"]): tuple(r)[2:] for r in orphans.dangling_periods(edges, refs, nodes, files).collect()}
+    assert got == {("edges", "2024-01"): (2, 1, 3, 1), ("edges", None): (0, 0, 1, 1), ("unresolved_refs", "2024-01"): (1, 1, 1, 1)}
