@@ -5,7 +5,7 @@ file.  What it shows is combined with the signs that tools leave:
 
 * *minified*: far fewer line breaks than tokens and a grammar that compresses
   the token classes strongly;
-* *data*: nearly all characters stand in literals, which yield no rules;
+* *data*: nearly all characters stand in literals (their rules are not looked at);
 * *vendored*: the file's start rule -- a name that depends on the whole token
   sequence and on nothing else -- occurs in several repositories; or a
   customary folder for foreign code, or a notice of origin in the head comment;

@@ -1,6 +1,6 @@
 """Problem 8: sentence boundaries across languages and scripts.
 
-A text is first cut into blocks (headings, list items with their levels, fenced
+A text is first cut into blocks (headings, list items without their levels, fenced
 code, paragraphs).  A pushdown automaton then reads each block: its stack holds
 the open quotations and brackets, marks inside them are remembered with the
 frame, and a boundary can only fall while the stack is empty.  Whether a full
