@@ -150,6 +150,13 @@ def files_subtree(spark, folder):
     return ranking.list_files(table(spark, folder, "files"), "QUIET-viewer18/src")
 
 
+def files_subtree_largest(spark, folder):
+    """Below the folder of two segments that holds most files."""
+    f = files(spark, folder).withColumn("top", F.regexp_extract("path", "^([^/]+/[^/]+)/", 1)).where("top <> ''")
+    top = f.groupBy("top").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "top").first()
+    return ranking.list_files(table(spark, folder, "files"), top["top"]) if top else files(spark, folder).where("false")
+
+
 def files_glob(spark, folder):
     return ranking.list_files(table(spark, folder, "files"), None, "*/core/*[a-m]*.py")
 
@@ -172,6 +179,13 @@ def status_stale(spark, folder):
     return ranking.stale_files(files(spark, folder), _live(spark, folder))
 
 
+def status_stale_runs(spark, folder):
+    """The files as their earliest run left them, against the newest rows of the files that have a text."""
+    first = table(spark, folder, "files").where("path IS NOT NULL AND indexed_at IS NOT NULL").groupBy("path").agg(F.min(F.struct("indexed_at", "modified_at")).alias("r")).select("path", "r.modified_at")
+    live = files(spark, folder).select("path", "modified_at").join(table(spark, folder, "source_texts").select("path"), "path", "left_semi")
+    return ranking.stale_files(first, live)
+
+
 def file_records(spark, folder):
     t = F.col("text")
     return table(spark, folder, "source_texts").where("text IS NOT NULL").select("path", F.octet_length(t).cast("long").alias("size"), F.sha2(t, 256).alias("content_hash"), F.size(F.split(t, "\n")).cast("long").alias("line_count"), F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("ext"))
@@ -256,4 +270,4 @@ def symbol_view(spark, folder):
     return nodes(spark, folder).select("name", "qualified_name", "kind", "language", F.col("file_path").alias("path"), F.col("start_line").alias("line"), doc.alias("docstring"), text.clip(model.optional_text("signature"), model.SIGNATURE_CHARS).alias("signature"), model.flag("is_exported").alias("exported"), model.flag("is_abstract").alias("abstract"))
 
 
-QUERIES = (symbol_resolve, search_like, search_fts, search_ranked, search_filtered, search_total, relations_in, relations_out, callers, callees, node_neighbourhood, relations_total_dangling, impact_d1, impact_d3, impact_calls_only, impact_truncated, impact_rendered, trace_shortest, trace_self, files_all, files_subtree, files_glob, status_counts, status_languages, status_stale, file_records, exclusion_filter, gitignore_match, declarations_per_file, span_per_file, explore_groups, explore_slices, source_slice, source_whole, clip_text, context_terms, context_terms_all, context_ranked, debounce_sessions, json_array_validate, symbol_view)
+QUERIES = (symbol_resolve, search_like, search_fts, search_ranked, search_filtered, search_total, relations_in, relations_out, callers, callees, node_neighbourhood, relations_total_dangling, impact_d1, impact_d3, impact_calls_only, impact_truncated, impact_rendered, trace_shortest, trace_self, files_all, files_subtree, files_subtree_largest, files_glob, status_counts, status_languages, status_stale, status_stale_runs, file_records, exclusion_filter, gitignore_match, declarations_per_file, span_per_file, explore_groups, explore_slices, source_slice, source_whole, clip_text, context_terms, context_terms_all, context_ranked, debounce_sessions, json_array_validate, symbol_view)

@@ -120,10 +120,12 @@ SQL = {
     "trace_self": f"{WITH} SELECT 1 AS path_no, id AS hops, '' AS edge_ids FROM subject",
     "files_all": f"{WITH} SELECT * FROM f",
     "files_subtree": f"{WITH} SELECT * FROM f WHERE path ILIKE 'QUIET-viewer18/src/%'",
+    "files_subtree_largest": f"{WITH} SELECT * FROM f WHERE path ILIKE (SELECT top || '/%' FROM (SELECT regexp_extract(path, '^([^/]+/[^/]+)/', 1) AS top FROM f) WHERE top <> '' GROUP BY top ORDER BY count(*) DESC, top LIMIT 1)",
     "files_glob": f"{WITH} SELECT * FROM f WHERE path GLOB '*/core/*[a-m]*.py'",
     "status_counts": f"{WITH} SELECT (SELECT CAST(count(*) AS BIGINT) FROM f) AS file_count, (SELECT CAST(count(*) AS BIGINT) FROM n) AS node_count, (SELECT CAST(count(*) AS BIGINT) FROM edges) AS edge_count, (SELECT nullif(max(indexed_at), 0) FROM f) AS indexed_at",
     "status_languages": f"{WITH} SELECT language, CAST(count(*) AS BIGINT) AS file_count FROM f GROUP BY language",
     "status_stale": f"{WITH}, {LIVE} SELECT f.path FROM f LEFT JOIN live ON live.path = f.path WHERE live.path IS NULL OR live.modified_at > f.modified_at",
+    "status_stale_runs": f"{WITH}, o AS (SELECT path, modified_at FROM files WHERE path IS NOT NULL AND indexed_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY indexed_at, modified_at) = 1), live AS (SELECT f.path, f.modified_at FROM f WHERE f.path IN (SELECT path FROM source_texts)) SELECT o.path FROM o LEFT JOIN live ON live.path = o.path WHERE live.path IS NULL OR live.modified_at > o.modified_at",
     "file_records": "SELECT path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS content_hash, CAST(len(string_split(text, chr(10))) AS BIGINT) AS line_count, regexp_extract(path, '(\\.[^./]*)$', 1) AS ext FROM source_texts WHERE text IS NOT NULL",
     "exclusion_filter": f"{WITH} SELECT path FROM f WHERE NOT list_has_any(string_split(path, '/'), [{', '.join(repr(x) for x in EXCLUDED)}])",
     "gitignore_match": f"{WITH} {_ignored()}",

@@ -56,3 +56,12 @@ def test_references_to_nodes_of_a_later_run(make):
     refs = make("refs", [(7, "late", "r/a.ts", "f", 1, 1), (8, "gone", "r/a.ts", "f", 1, 1), (9, "n", "r/a.ts", "f", 1, 1)])
     got = {(r["ref_table"], r["period"]): tuple(r)[2:] for r in orphans.dangling_periods(edges, refs, nodes, files).collect()}
     assert got == {("edges", "2024-01"): (2, 1, 3, 1), ("edges", None): (0, 0, 1, 1), ("unresolved_refs", "2024-01"): (1, 1, 1, 1)}
+
+
+def test_stale_files_and_subtree_from_the_data(spark, make, tmp_path):
+    row = lambda path, modified, indexed: (path, "h", "python", 1, modified, indexed, 0, None)
+    make("files", [row("r/x/newer.py", 5, 50), row("r/x/newer.py", 4, 40), row("r/x/same.py", 5, 50), row("r/x/same.py", 5, 40), row("q/y/gone.py", 5, 50), row("q/y/1234567.py", 5, 50)]).write.parquet(str(tmp_path / "files.parquet"))
+    make("texts", [(p, "") for p in ("r/x/newer.py", "r/x/same.py", "q/y/1234567.py")]).write.parquet(str(tmp_path / "source_texts.parquet"))
+    run = lambda name: sorted(r["path"] for r in registry.queries()[name](spark, str(tmp_path)).collect())
+    assert run("status_stale_runs") == ["q/y/gone.py", "r/x/newer.py"]
+    assert run("files_subtree_largest") == ["q/y/1234567.py", "q/y/gone.py"]
