@@ -1,11 +1,18 @@
 """Re-Pair grammar inference over many token sequences at once.
 
-Every round looks at the adjacent pairs of each sequence, takes those that
+:func:`infer` takes the most frequent pairs of a sequence first.  Every round looks at the adjacent pairs of each sequence, takes those that
 occur at least twice *in that sequence*, and replaces the occurrences that beat
 their neighbours (more frequent first, ties by content).  All sequences of a
 batch advance together in numpy, yet none sees another, so the grammar of a
 sequence depends on nothing but its content.  A rule's name is a hash of its
 two sides: equal rules have equal names in any file, batch or executor.
+
+:func:`passages` compares sequences that never meet.  A pair's frequency in the
+whole collection is known to no task, and by the frequency in its own sequence
+one passage would be derived differently in every file; so here a pair is
+replaced where its *name* beats both neighbours.  What is replaced depends on a
+few tokens around a place only: equal passages get equal rules wherever they
+stand, but for the rules at their two ends.
 """
 
 from __future__ import annotations
@@ -25,21 +32,27 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+#: A rule of at least so many tokens and uses counts as reused.
+REUSED_TOKENS, REUSED_USES = 8, 4
+
+
 def infer(tokens: np.ndarray, owner: np.ndarray, sequences: int, rounds: int = 64) -> dict[str, np.ndarray]:
     """Infers one grammar per sequence.
 
     ``tokens`` are 64-bit token ids, ``owner`` the non-decreasing sequence
     number of each.  Returns arrays by sequence: ``n`` tokens, ``axiom`` length
     of the start rule, ``rules`` number of rules, ``start`` name of the start
-    rule.  A sequence without tokens has zeros.  ``rounds`` only bounds a loop
+    rule, ``reused`` tokens that stand in reused rules.  A sequence without tokens has zeros.  ``rounds`` only bounds a loop
     that ends by itself after a number of rounds logarithmic in the longest
     repeat.
     """
     tokens, owner = tokens.astype(np.uint64), owner.astype(np.int64)
     n = np.bincount(owner, minlength=sequences)
     rules = np.zeros(sequences, np.int64)
+    reused = np.zeros(sequences, np.int64)
     frozen: list[tuple[np.ndarray, np.ndarray]] = []
     s, o = tokens, owner
+    span, within_reused = np.ones(len(s), np.int64), np.zeros(len(s), np.int64)
     for _ in range(rounds):
         if len(s) < 2:
             break
@@ -50,7 +63,7 @@ def infer(tokens: np.ndarray, owner: np.ndarray, sequences: int, rounds: int = 6
         within = np.flatnonzero(inside)  # a pair across two sequences is none
         if not len(within):
             break
-        order = within[np.argsort(mine[within], kind="stable")]
+        order = within[np.argsort(mine[within])]
         run = mine[order]
         first = np.empty(len(run), bool)
         first[0] = True
@@ -85,19 +98,25 @@ def infer(tokens: np.ndarray, owner: np.ndarray, sequences: int, rounds: int = 6
         won = won[keep]
         if not len(won):
             break
+        uses = uses[inverse][keep]
         ruled = np.unique(mine[won], return_index=True)[1]
         rules += np.bincount(o[won[ruled]], minlength=sequences)
-        s = s.copy()
+        s, span, within_reused = s.copy(), span.copy(), within_reused.copy()
         s[won] = key[won]
+        span[won] += span[won + 1]
+        again = (uses >= REUSED_USES) & (span[won] >= REUSED_TOKENS)
+        within_reused[won] = np.where(again, span[won], within_reused[won] + within_reused[won + 1])
         drop = np.ones(len(s), bool)
         drop[won + 1] = False
         changed = np.zeros(sequences, bool)
         changed[o[won]] = True
-        s, o = s[drop], o[drop]
+        s, o, span, within_reused = s[drop], o[drop], span[drop], within_reused[drop]
         live = changed[o]  # sequences without a new rule are done
         if not live.all():
+            reused += np.bincount(o[~live], weights=within_reused[~live], minlength=sequences).astype(np.int64)
             frozen.append((s[~live], o[~live]))
-            s, o = s[live], o[live]
+            s, o, span, within_reused = s[live], o[live], span[live], within_reused[live]
+    reused += np.bincount(o, weights=within_reused, minlength=sequences).astype(np.int64)
     frozen.append((s, o))
     axiom, start = np.zeros(sequences, np.int64), np.zeros(sequences, np.uint64)
     for s, o in frozen:
@@ -108,4 +127,29 @@ def infer(tokens: np.ndarray, owner: np.ndarray, sequences: int, rounds: int = 6
         place = np.arange(len(s)) - np.repeat(begins, np.diff(np.append(begins, len(s))))
         with np.errstate(over="ignore"):
             start[o[begins]] = np.add.reduceat(_mix(s, place.astype(np.uint64)), begins)
-    return {"n": n, "axiom": axiom, "rules": rules, "start": start}
+    return {"n": n, "axiom": axiom, "rules": rules, "start": start, "reused": reused}
+
+
+def passages(tokens: np.ndarray, owner: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(owner, rule, tokens)`` of the rules that cut each sequence after so many rounds, in order.
+
+    A round leaves about two of three symbols, so a rule spans about 1.5 ** ``rounds`` tokens.
+    """
+    s, o = tokens.astype(np.uint64), owner.astype(np.int64)
+    span = np.ones(len(s), np.int64)
+    for _ in range(rounds):
+        if len(s) < 2:
+            break
+        wins = o[:-1] == o[1:]
+        key = _mix(s[:-1], s[1:])
+        rank = np.where(wins, key, np.uint64(0))
+        wins[1:] &= rank[1:] > rank[:-1]
+        wins[:-1] &= rank[:-1] > rank[1:]
+        won = np.flatnonzero(wins)
+        s, span = s.copy(), span.copy()
+        s[won] = key[won]
+        span[won] += span[won + 1]
+        kept = np.ones(len(s), bool)
+        kept[won + 1] = False
+        s, o, span = s[kept], o[kept], span[kept]
+    return o, s, span

@@ -32,5 +32,6 @@ def current_files(files: DataFrame, *extra: str) -> DataFrame:
 
 def files_with_text(files: DataFrame, source_texts: DataFrame, *extra: str) -> DataFrame:
     """``path, language, text`` and the extra columns of each current file; text is NULL where none is stored."""
-    texts = source_texts.where("path IS NOT NULL").select("path", "text")
+    # the join's own partitioning, asked for: else a join with few files could leave all texts to the scan's few tasks
+    texts = source_texts.where("path IS NOT NULL").select("path", "text").repartition("path")
     return current_files(files, *extra).join(texts, "path", "left").drop("content_hash")

@@ -143,3 +143,38 @@ def test_documented_functions(make):
     assert got["1"]["documentation"] == "Reads all the open files again." and got["1"]["delimited"] and got["1"]["code"].startswith("export function go")
     assert got["4"]["documentation_from"] == "text" and got["6"]["code"] is None
     assert funcdoc.documented_functions(make("nodes", []), make("texts", [])).count() == 0
+
+
+def test_edited_copies_and_compressible_tables(tables):
+    rng = np.random.default_rng(3)
+    lines = [f"  {w} = mix{a}({w}, '{b}')\n" for w, a, b in zip("abcdefgh" * 10, rng.integers(0, 99, 80), rng.integers(0, 9999, 80), strict=True)]
+    body = "export function go() {\n" + "".join(lines) + "}\n"
+    edited = body.replace(lines[20], "  renamed = other(1)\n  inserted(2)\n").replace(lines[60], "")
+    other = "export function go() {\n" + "".join(x.replace("mix", "cut") for x in reversed(lines)) + "}\n"
+    table = "export const T = [\n" + "".join(f"  ['{'yes' if i % 3 else 'no'}', 'left', 'right'],\n" for i in range(200)) + "]\n"
+    small = "x = f('aa', 'bb')\n"
+    texts = {"a/x.js": body, "b/lib/y.js": "// mine\n" + edited, "c/z.js": other, "a/again.js": other.replace("go", "own"), "a/table.js": table, "a/small.js": small, "b/small.js": small}
+    got = {r["path"]: (list(r["reasons"]), list(r["signs"])) for r in provenance.classified(*tables(texts)).collect()}
+    assert got["a/x.js"] == got["b/lib/y.js"] == (["vendored"], ["grammar: rules of other repositories"])
+    # another order of the same lines is no copy, and a copy within a repository neither unless another has it too
+    assert "data" not in got["a/table.js"][0] and got["a/small.js"][0] == got["b/small.js"][0] == []
+    assert got["c/z.js"][0] == got["a/again.js"][0] == ["vendored"]
+
+
+def test_rules_of_equal_passages_are_equal_wherever_they_stand():
+    rng = np.random.default_rng(5)
+    passage = rng.integers(1, 50, 2000)
+    both = np.concatenate([rng.integers(1, 50, 311), passage, rng.integers(1, 50, 77), passage]).astype(np.uint64)
+    owner = np.repeat([0, 2], [311 + 2000, 77 + 2000])
+    o, rule, span = repair.passages(both, owner, 7)
+    assert np.bincount(o, weights=span).tolist() == [2311, 0, 2077]
+    shared = np.isin(rule, np.intersect1d(rule[o == 0], rule[o == 2]))
+    assert span[shared & (o == 2)].sum() >= 1900
+    assert repair.passages(np.zeros(0, np.uint64), np.zeros(0, np.int64), 3)[0].size == 0
+
+
+def test_reused_rules():
+    g = repair.infer(np.array([1, 2, 3, 4, 5, 6, 7, 8, 9] * 5 + list(range(10, 55)), np.uint64), np.zeros(90, np.int64), 1)
+    assert g["reused"].tolist() == [45]
+    g = repair.infer(np.array([1, 2, 3, 4, 5, 6, 7, 8, 9] * 3, np.uint64), np.zeros(27, np.int64), 1)
+    assert g["reused"].tolist() == [0]
