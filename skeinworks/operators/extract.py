@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexing import KEYWORDS, PATTERNS
-from ..session import spread
+from ..session import bounded_batches, spread
 
 # File extensions of the supported languages.
 EXTENSIONS = {".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".jsx": "jsx", ".py": "python", ".pyi": "python", ".go": "go", ".java": "java", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hh": "cpp", ".hxx": "cpp", ".cs": "csharp", ".php": "php", ".rs": "rust", ".rb": "ruby", ".zig": "zig", ".kt": "kotlin", ".kts": "kotlin", ".swift": "swift", ".dart": "dart", ".scala": "scala", ".sc": "scala"}
@@ -591,8 +591,7 @@ def language_of(path: Column) -> Column:
 def extracted(source_texts: DataFrame) -> DataFrame:
     """``path, language, definitions, calls, imports, heritage`` of every file of a known language; empty arrays for empty texts."""
     known = source_texts.where("path IS NOT NULL").select("path", language_of(F.col("path")).alias("language"), "text").where("language IS NOT NULL")
-    source_texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    return spread(known).mapInPandas(_extract, SCHEMA)
+    return bounded_batches(spread(known)).mapInPandas(_extract, SCHEMA)
 
 
 def exploded(extraction: DataFrame, what: str) -> DataFrame:

@@ -3,21 +3,40 @@
 from __future__ import annotations
 
 import pathlib
+import re
 import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .model import GraphError
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a local one only where none is set, as in tests."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.  Where none is named, a session of one machine, as
+    in tests, takes a folder of its own; a cluster gets an error, as no machine's folder is shared."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise GraphError("UNAVAILABLE", "spark.checkpoint.dir names no shared folder")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 
+#: Rows and bytes of one batch that goes to Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 * 1024 * 1024
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same rows; texts reach Python in batches of bounded size.  Always the same values, so it does not matter which of
+    several plans was built last."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows, written once to the checkpoint folder: later uses read them, and a lost executor costs no recomputation."""
     checkpoint_folder(df.sparkSession)
