@@ -5,7 +5,9 @@ Each source file is lexed once by the string- and comment-aware tables of
 to delimit each function, lines are told apart as code, comment or blank, and
 the comment that stands directly above a definition (annotations, attributes
 and decorators may stand between) is attached to it; in Python the docstring.
-``nodes.docstring`` is used where it is filled.
+``nodes.docstring`` is used where it is filled.  Each question about a place in
+a file is answered by a search, so a file costs about as much as it is long,
+however many functions it has.
 
 Of several rows with one id the one with the greatest ``updated_at`` counts
 (ties: the row with documentation, then the greatest text).  Nodes without an
@@ -16,17 +18,21 @@ its row says and has NULL code; a NULL name removes no words.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_batches
 from . import lexing
-from .sources import small_batches
 
 SCHEMA = "id string, kind string, name string, language string, signature string, code string, delimited boolean, documentation string, documentation_from string, prose_words int"
 
+#: Functions of one file that one row carries to Python; files with more come in several rows.
+FILE_FUNCTIONS = 5_000
+
 #: Words of prose, or Han and kana characters, that documentation needs.
 MIN_WORDS, MIN_HAN = 4, 8
 
@@ -43,6 +49,7 @@ _SEPARATOR = re.compile(r"\s*(?:[^\w\s]{3,}.*[^\w\s]{3,}|[^\w]*)\s*$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _HAN = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾝ]")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_]+")
+_HEAD_END = re.compile(r"[:)]\s*(?:#.*)?$|:\s*[\"'rRuU]")
 _ARTICLES = frozenset("a an the".split())
 
 
@@ -91,6 +98,36 @@ def prose(comment: str | None, name: str | None) -> tuple[int, int]:
     return words, han
 
 
+class FirstAtMost:
+    """Finds the first value at or after a place that is at most a bound, by minima over growing stretches."""
+
+    WIDTH = 16
+
+    def __init__(self, values: list[int]) -> None:
+        self.levels = [values]
+        while len(self.levels[-1]) > self.WIDTH:
+            below = self.levels[-1]
+            self.levels.append([min(below[k : k + self.WIDTH]) for k in range(0, len(below), self.WIDTH)])
+
+    def find(self, at: int, most: int) -> int:
+        """The index, or the number of values where there is none."""
+        level, w = 0, self.WIDTH
+        while True:
+            row = self.levels[level]
+            end = len(row) if level == len(self.levels) - 1 else min(len(row), (at // w + 1) * w)
+            hit = next((k for k in range(at, end) if row[k] <= most), -1)
+            if hit >= 0:
+                break
+            if end == len(row):
+                return len(self.levels[0])
+            at, level = end // w, level + 1
+        while level:  # the stretch that holds it, then the place in it
+            level -= 1
+            row = self.levels[level]
+            hit = next(k for k in range(hit * w, len(row)) if row[k] <= most)
+        return hit
+
+
 class SourceLines:
     """What the state machine saw in each line of a file (from 1)."""
 
@@ -147,21 +184,43 @@ class SourceLines:
             previous = x
             if "\n" in x:
                 number += x.count("\n")
-        self.begun_by_comment = {last: begin for last, (_, begin) in self.comment.items()}
+        self.brace_lines = [line for line, _ in self.braces]
+        self.string_lines = [line for line, _ in self.strings]
+        self.partner = [-1] * len(self.braces)  # of each opening brace
+        opened: list[int] = []
+        for i, (_, step) in enumerate(self.braces):
+            if step > 0:
+                opened.append(i)
+            elif opened:
+                self.partner[opened.pop()] = i
+        self.depth = [0]  # brackets open after each line
+        for n in self.net[1:]:
+            self.depth.append(self.depth[-1] + n)
+        self._lower: FirstAtMost | None = None
+        self._heads: tuple[list[int], FirstAtMost] | None = None
 
     def block_end(self, start: int) -> int:
         """The line of the bracket that closes the first block opened at or after ``start``; 0 if there is none."""
-        depth, opened = 0, False
-        for line, step in self.braces:
-            if line < start:
-                continue
-            depth += step
-            opened = opened or step > 0
-            if opened and depth <= 0:
-                return line
-            if not opened and depth < 0:
-                return 0
-        return 0
+        i = bisect_left(self.brace_lines, start)
+        if i == len(self.braces) or self.braces[i][1] < 0 or self.partner[i] < 0:
+            return 0
+        return self.brace_lines[self.partner[i]]
+
+    def _opening_line(self, line: int) -> int:
+        """The last line up to ``line`` with which the brackets of the lines between are balanced; 1 if there is none."""
+        if self.net[line] >= 0:
+            return line
+        if self._lower is None:
+            self._lower = FirstAtMost(self.depth[::-1])
+        n = len(self.depth)
+        return max(1, n - self._lower.find(n - line, self.depth[line]))
+
+    def _head_ends(self) -> tuple[list[int], FirstAtMost]:
+        """The lines that may end the head of a Python definition, and the brackets open after each."""
+        if self._heads is None:
+            lines = [k for k, code in enumerate(self.lines, 1) if _HEAD_END.search(code.rstrip("\r")) and not self.first[k].startswith("@")]
+            self._heads = lines, FirstAtMost([self.depth[k] for k in lines])
+        return self._heads
 
     def _is_comment_line(self, line: int) -> bool:
         found = self.comment.get(line)
@@ -169,6 +228,8 @@ class SourceLines:
 
     def comment_above(self, start: int) -> str:
         """The comment directly above a definition, '' if there is none."""
+        if start > len(self.lines):  # the text is shorter than its nodes say
+            return ""
         pieces: list[str] = []
         line = start - 1
         while line >= 1:
@@ -179,10 +240,7 @@ class SourceLines:
             if pieces:
                 break
             # an annotation may span lines: climb to the line that opens its brackets
-            top, depth = line, self.net[line]
-            while depth < 0 and top > 1:
-                top -= 1
-                depth += self.net[top]
+            top = self._opening_line(line)
             first = self.first[top]
             if first == "@" or first.startswith("@") or self.language == "rust" and first == "#" and self.second[top] in ("[", "!"):
                 line = top - 1
@@ -192,19 +250,19 @@ class SourceLines:
 
     def docstring(self, start: int, end: int) -> str:
         """The string that is the first statement of a Python function."""
-        line, depth = start, 0
+        if not 1 <= start <= len(self.lines):
+            return ""
         limit = max(start, min(end or start, len(self.lines)))
-        while line <= len(self.lines):
-            depth += self.net[line]
-            code = self.lines[line - 1]
-            if depth <= 0 and re.search(r"[:)]\s*(?:#.*)?$|:\s*[\"'rRuU]", code.rstrip("\r")) and (line > start or self.first[line]) and not self.first[line].startswith("@"):
-                break
-            line += 1
+        heads, open_after = self._head_ends()
+        at = open_after.find(bisect_left(heads, start if self.first[start] else start + 1), self.depth[start - 1]) if heads else 0
+        if at >= len(heads):
+            return ""
+        line = heads[at]
         # decorated definitions start at their decorator or at the def itself
-        for number, string in self.strings:
+        for i in range(bisect_left(self.string_lines, line), len(self.strings)):
+            number, string = self.strings[i]
             if number == line and self.first[number] != string or number > line:
-                between = range(line + 1, number)
-                if number <= max(limit, line) and not any(self.first[k] for k in between) and (number == line or self.first[number] == string):
+                if number <= max(limit, line) and not any(self.first[k] for k in range(line + 1, number)) and (number == line or self.first[number] == string):
                     return string
                 return ""
         return ""
@@ -251,8 +309,12 @@ def documented_functions(nodes: DataFrame, source_texts: DataFrame) -> DataFrame
     """``id, kind, name, language, signature, code, delimited, documentation, documentation_from, prose_words`` of each
     function or method whose documentation says something."""
     inner = ["id", "kind", "name", "language", "start_line", "end_line", "docstring", "signature"]
-    # one file's functions form one row, so that its text travels and is lexed once; a file bounds the list
-    per_file = current_functions(nodes).groupBy("file_path").agg(F.collect_list(F.struct(*inner)).alias("nodes"))
-    texts = source_texts.where("path IS NOT NULL").select(F.col("path").alias("file_path"), "text")
-    pairs = small_batches(per_file.join(texts, "file_path", "left").select("text", "nodes")).mapInArrow(_pair, SCHEMA)
+    # one file's functions form one row, so that its text travels and is lexed once.  A path with very many rows, and the rows
+    # without a path, are dealt out by their ids, so that no list grows without bound
+    crowded = nodes.where("file_path IS NOT NULL").groupBy("file_path").agg(F.ceil(F.count("*") / F.lit(FILE_FUNCTIONS)).alias("parts")).where("parts > 1")
+    dealt = F.when(F.col("file_path").isNull(), F.xxhash64("id")).otherwise(F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
+    functions = current_functions(nodes).join(crowded, "file_path", "left").withColumn("part", dealt)
+    per_file = functions.groupBy("file_path", "part").agg(F.collect_list(F.struct(*inner)).alias("nodes"))
+    texts = source_texts.where("path IS NOT NULL").select(F.col("path").alias("file_path"), "text").repartition("file_path")
+    pairs = bounded_batches(per_file.join(texts, "file_path", "left").select("text", "nodes")).mapInArrow(_pair, SCHEMA)
     return pairs.where("documentation IS NOT NULL")

@@ -5,11 +5,16 @@ texts is used ``max_repeats`` times.  Within a source the texts stand in a
 random but reproducible order; running sums of their tokens cut each source
 into blocks of equal size.  Blocks are scheduled by Pfair: the k-th block of a
 source of weight w is released at floor((k-1)/w) and due at ceil(k/w), and
-earliest deadline first runs the released block that is due next, so that no
-prefix of the mix deviates from any target by a whole block.  With weights as
-multiples of 1/D every deviation is zero again after D slots; the schedule of
-one such period therefore places every block, and blocks find their slot by a
-join instead of a scan.
+earliest deadline first runs the released block that is due next, so that in no
+prefix the blocks of a source deviate from its target by a whole one.  With
+weights as multiples of 1/D every deviation is zero again after D slots; the
+schedule of one such period therefore places every block, and blocks find their
+slot by a join instead of a scan.
+
+A text stands in the block where it begins and is never cut.  In tokens a source
+therefore lags behind its schedule by less than a block, and is ahead of it by
+less than a block and the longest text together.  No order of whole texts does
+better than half the longest text on both sides.
 
 Source names are compared without case and surrounding space.  A text counts
 once however many ids it has: for the source that wants it with the smallest
@@ -26,12 +31,14 @@ from math import ceil, floor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, spread
+from ..model import GraphError
+from ..session import bounded_batches, cut_lineage, spread
 from . import tokens
-from .sources import small_batches
+from .sources import small_table
 
-#: Denominator of the weights: one period of the schedule has so many slots.
-PERIOD = 10_000
+#: Denominator of the weights: one period of the schedule has so many slots, or ten or a hundred times as many where a weight
+#: would have none of them.
+PERIOD, MOST_PERIOD = 10_000, 1_000_000
 #: Tokens of a block.
 BLOCK_TOKENS = 4096
 #: Rows of one group of running sums at most, on average.
@@ -39,8 +46,16 @@ GROUP_ROWS = 50_000
 
 
 def whole_weights(shares: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Shares as whole numbers that add up to the period (largest remainders first); each at least 1."""
+    """Shares as whole numbers that add up to the period (largest remainders first); each at least 1.
+
+    They order the blocks only; how many tokens a source gives follows from its exact share.  A share below one of
+    ``MOST_PERIOD`` slots is refused.
+    """
     total = sum(shares.values())
+    while period < MOST_PERIOD and min(shares.values()) / total * period < 1:
+        period *= 10
+    if min(shares.values()) / total * period < 1:
+        raise GraphError("INVALID_REQUEST", f"a share is below {1 / MOST_PERIOD}")
     exact = {s: w / total * period for s, w in shares.items()}
     out = {s: max(1, floor(x + 1e-9)) for s, x in exact.items()}
     by_rest = sorted(exact, key=lambda s: (out[s] - exact[s], s))
@@ -74,8 +89,7 @@ def _ordered(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: in
     """Each wanted text once, with the tokens of its source before it; and the tokens of each source."""
     name = F.lower(F.trim("source"))
     wanted = targets.select(F.col("source").alias("wanted"))
-    small = small_batches(spread(documents.where("text IS NOT NULL AND text <> ''").select(name.alias("source"), "doc_id", "text")), 2000)
-    # the targets are few by their nature, but their number is not proven: the optimizer measures and chooses the join
+    small = bounded_batches(spread(documents.where("text IS NOT NULL AND text <> ''").select(name.alias("source"), "doc_id", "text")))
     mine = small.join(wanted, small["source"] == wanted["wanted"], "left_semi")
     digest = F.sha2("text", 256)
     sized = tokens.with_token_count(mine, vocabulary).select("source", "doc_id", digest.alias("text_id"), "n_tokens")
@@ -104,7 +118,7 @@ def mixed(documents: DataFrame, source_targets: DataFrame, vocabulary: str = tok
     are blocks in the order of the schedule, and within a block the source's texts follow each other."""
     spark: SparkSession = documents.sparkSession
     wanted = _targets(source_targets)
-    names = spark.createDataFrame([(s,) for s in sorted(wanted)], "source string")
+    names = small_table(spark, [(s,) for s in sorted(wanted)], "source string")
     ordered, available = _ordered(documents, names, vocabulary, seed)
     able = {s: w for s, (w, _) in wanted.items() if available.get(s)}
     schema = "source string, total long, quota double, repeats int"
@@ -112,18 +126,18 @@ def mixed(documents: DataFrame, source_targets: DataFrame, vocabulary: str = tok
     quotas = [(s, available[s], w / sum(able.values()) * total, wanted[s][1]) for s, w in sorted(able.items())]
     if not able:
         return ordered.where("false").selectExpr("0L AS slot", "0L AS tokens_before", "source", "doc_id", "text_id", "0 AS copy", "n_tokens")
-    # the quotas have one row per target
-    use = ordered.join(F.broadcast(spark.createDataFrame(quotas, schema)), "source")
+    # one row per target
+    use = ordered.join(small_table(spark, quotas, schema), "source")
     copies = use.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1))).withColumn("tokens_before", F.col("before") + F.col("copy") * F.col("total"))
     chosen = copies.where("tokens_before < quota")
     weights = whole_weights(able)
     period = sum(weights.values())
-    schedule = spark.createDataFrame(pfair_period(weights), "source string, k int, slot int")
-    per = spark.createDataFrame(sorted(weights.items()), "source string, w int")
-    block = chosen.withColumn("block", F.floor(F.col("tokens_before") / F.lit(block_tokens))).join(F.broadcast(per), "source")
+    schedule = small_table(spark, pfair_period(weights), "source string, k int, slot int")
+    per = small_table(spark, sorted(weights.items()), "source string, w int")
+    block = chosen.withColumn("block", F.floor(F.col("tokens_before") / F.lit(block_tokens))).join(per, "source")
     block = block.withColumn("k", (F.col("block") % F.col("w")).cast("int")).withColumn("round", F.floor(F.col("block") / F.col("w")))
-    # the schedule has PERIOD rows, whatever the data
-    slotted = block.join(F.broadcast(schedule), ["source", "k"])
+    # the schedule has as many rows as slots, whatever the data
+    slotted = block.join(schedule, ["source", "k"])
     slot = (F.col("round") * F.lit(period) + F.col("slot")).cast("long")
     return slotted.select(slot.alias("slot"), F.col("tokens_before").cast("long").alias("tokens_before"), "source", "doc_id", "text_id", "copy", "n_tokens")
 

@@ -22,9 +22,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, spread
+from ..session import bounded_batches, cut_lineage, spread
 from . import tokens
-from .sources import small_batches
 
 #: Rows of one rank group at most, on average.
 GROUP_ROWS = 50_000
@@ -181,7 +180,7 @@ def slots(plan: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int, i
 
 def sized_items(documents: DataFrame, container_sizes: DataFrame, vocabulary: str) -> DataFrame:
     """``container, capacity_tokens, doc_id, piece, n_tokens``: every text, or its pieces, for each container."""
-    texts = small_batches(spread(documents.where("text IS NOT NULL").select("doc_id", "text")), 2000)
+    texts = bounded_batches(spread(documents.where("text IS NOT NULL").select("doc_id", "text")))
     sized = tokens.with_token_count(texts, vocabulary).select("doc_id", "n_tokens")
     kinds = container_sizes.where("container IS NOT NULL AND capacity_tokens > 0").groupBy("container").agg(F.min("capacity_tokens").cast("long").alias("capacity_tokens"))
     # the few kinds of container become an array literal: each text is repeated per kind without a join
@@ -219,10 +218,11 @@ def packed(documents: DataFrame, container_sizes: DataFrame, vocabulary: str = t
     offsets = counted.withColumn("before", F.sum("n").over(Window.partitionBy(*size).orderBy("salt")) - F.col("n")).select(*size, "salt", "before")
     inner = F.row_number().over(Window.partitionBy(*size, "salt").orderBy("doc_id", "piece")) - 1
     ranked = items.withColumn("inner", inner).join(offsets, [*size, "salt"], "left").withColumn("rank", F.coalesce("before", F.lit(0)) + F.col("inner"))
-    # one row per size with its slots in order: the join is on the size alone, the slot is found by the rank
+    # one row per size with its slots in order: the join is on the size alone, the slot is found by the rank; the planner
+    # knows the size of this side when it has been aggregated and chooses the join by it
     listed = plan.groupBy(*size).agg(F.sort_array(F.collect_list(F.struct("first", "last", "base", "each"))).alias("slots"))
     slot = F.element_at(F.filter("slots", lambda x: (x["first"] <= F.col("rank")) & (F.col("rank") < x["last"])), 1)
-    joined = ranked.join(F.broadcast(listed), size, "left").withColumn("s", F.when(F.col("n_tokens") > 0, slot))
+    joined = ranked.join(listed, size, "left").withColumn("s", F.when(F.col("n_tokens") > 0, slot))
     number = F.coalesce(F.col("s.base") + F.floor((F.col("rank") - F.col("s.first")) / F.col("s.each")) + 1, F.lit(0))
     return joined.select("container", number.cast("long").alias("container_no"), "doc_id", "piece", "n_tokens")
 

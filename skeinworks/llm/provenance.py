@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import bounded_batches, cut_lineage
 from . import lexing, repair
-from .sources import files_with_text, repository, small_batches
+from .sources import files_with_text, repository
 
 # Folders and suffixes that package managers and generators use, and what they write into head comments.
 VENDOR_FOLDERS = "vendor third_party thirdparty third-party 3rdparty 3rd_party external deps node_modules bower_components bower_parts jspm_packages Godeps site-packages Pods Carthage".split()
@@ -155,7 +155,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def grammar_features(files: DataFrame, source_texts: DataFrame) -> DataFrame:
     """Per current file with a text: the sizes of its grammars, its rules of some length, and what its head comment says."""
     texts = files_with_text(files, source_texts).where("text IS NOT NULL").select("path", "language", "text")
-    return small_batches(texts).mapInArrow(_features, SCHEMA)
+    return bounded_batches(texts).mapInArrow(_features, SCHEMA)
 
 
 def _in_folder(path: Column, names: list[str]) -> Column:
@@ -165,15 +165,16 @@ def _in_folder(path: Column, names: list[str]) -> Column:
 def foreign_tokens(features: DataFrame) -> DataFrame:
     """``path, foreign``: tokens of each file in rules that other repositories have too; files without any are left out.
 
-    A rule is foreign to all its files if its least and greatest repository
-    differ: two algebraic aggregates, so a rule that stands in a third of all
-    files reaches the shuffle as a few partial rows.
+    A rule is foreign to all its files if the least and greatest of its
+    repositories, as hashes, differ: two algebraic aggregates of fixed size, so a
+    rule that stands in a third of all files reaches the shuffle as a few partial
+    rows.  Where such a rule's uses meet the join, the planner may split them:
+    another shuffle follows.
     """
     uses = features.select("path", F.explode("rules").alias("r")).select("path", "r.rule", "r.tokens")
-    by_file = uses.groupBy("rule", "tokens", "path").agg(F.count("*").alias("uses"))
-    repo = repository(F.col("path"))
-    shared = uses.groupBy("rule", "tokens").agg(F.min(repo).alias("a"), F.max(repo).alias("b")).where("a <> b").select("rule", "tokens")
-    return by_file.join(shared, ["rule", "tokens"], "left_semi").groupBy("path").agg(F.sum(F.col("tokens") * F.col("uses")).alias("foreign"))
+    repo = F.xxhash64(repository(F.col("path")))
+    shared = uses.groupBy("rule").agg(F.min(repo).alias("a"), F.max(repo).alias("b")).where("a <> b").select("rule")
+    return uses.join(shared, "rule", "left_semi").groupBy("path").agg(F.sum("tokens").alias("foreign"))
 
 
 def classified(files: DataFrame, source_texts: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """Problem 8: sentence boundaries across languages and scripts.
 
-A text is first cut into blocks (headings, list items without their levels, fenced
-code, paragraphs).  A pushdown automaton then reads each block: its stack holds
-the open quotations and brackets, marks inside them are remembered with the
-frame, and a boundary can only fall while the stack is empty.  Whether a full
+A pushdown automaton reads each text.  Its lower stack holds the levels of open
+lists: a line that begins further in than the item above opens a level, one
+further out closes levels, and a paragraph that stands within an item belongs to
+it.  So the text falls into blocks (headings, list items with their levels,
+fenced code, paragraphs).  Within a block its upper stack holds the open
+quotations and brackets, marks inside them are remembered with the frame, and a
+boundary can only fall while that stack is empty.  Whether a full
 stop belongs to an abbreviation is looked up in a trie read backwards from the
 mark; script terminators (ideographic, Devanagari, Arabic) need no space after
 them, and Thai sentences end at a space between two Thai letters.
@@ -20,10 +23,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..session import spread
-from .sources import small_batches
+from ..session import bounded_batches, spread
 
-SCHEMA = "doc_id long, sentence_no int, start_char long, end_char long, unit string"
+SCHEMA = "doc_id long, sentence_no int, start_char long, end_char long, unit string, list_level int"
 
 # Abbreviations by what may follow them.  A title, or a word that needs a continuation, never ends a
 # sentence; one that takes a number does not before a number; the others end one if a new sentence begins.
@@ -42,10 +44,12 @@ _FULL = frozenset("。！？．।॥؟۔｡")
 _MARKS = ".!?…" + "".join(_FULL)
 _GOES_ON = frozenset(",;:，；：、،؛-–—/…~=+*%&")
 _EVENT = re.compile("[" + re.escape(_MARKS + "".join(PAIRS) + "".join(_CLOSERS)) + "`]|(?<=[฀-๿])[ \t]*(?:[ \t]|\r?\n)[ \t]*(?=[฀-๿])")
+_SIGN = re.compile("[" + re.escape("".join(PAIRS) + "".join(_CLOSERS)) + "`]")
 _BLANK = re.compile(r"[ \t\r\f\v　]*\Z")
 _FENCE = re.compile(r"[ \t]{0,3}(`{3,}|~{3,})")
 _HEADING = re.compile(r"[ \t]{0,3}#{1,6}(?=[ \t]|$)")
-_ITEM = re.compile(r"[ \t]*(?:[-*+•]|\d{1,9}[.)])[ \t]+(?=\S)")
+_ITEM = re.compile(r"([ \t]*)(?:[-*+•]|\d{1,9}[.)])[ \t]+(?=\S)")
+_INDENT = re.compile(r"[ \t]*")
 _IDENTIFIER = re.compile(r"[a-z][a-z0-9]*(?:_[a-z0-9]|[A-Z])|[a-z]\w*\(")
 _SPACE = re.compile(r"\s*")
 
@@ -96,23 +100,26 @@ def _begins(text: str, at: int, high: int) -> bool:
 def _partners(text: str, low: int, high: int) -> dict[int, int]:
     """Opening place -> closing place of the quotations and brackets of a block."""
     stack: list[tuple[str, int]] = []
+    open_at: dict[str, list[int]] = {}  # closing sign -> where it is awaited in the stack
     found: dict[int, int] = {}
-    for i in range(low, high):
-        c = text[i]
-        if c not in PAIRS and c not in _CLOSERS and c != "`":
-            continue
+
+    def push(c: str, i: int) -> None:
+        open_at.setdefault(c, []).append(len(stack))
+        stack.append((c, i))
+
+    for m in _SIGN.finditer(text, low, high):
+        i, c = m.start(), m[0]
         if c == "’" and i + 1 < high and text[i + 1].isalpha() and i > low and text[i - 1].isalpha():
             continue
-        level = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), -1)
+        level = open_at[c][-1] if open_at.get(c) else -1
         if level >= 0 and not (c in '"`' and level < len(stack) - 1 and stack[-1][0] in ")]}"):
             found[stack[level][1]] = i
-            del stack[level:]
+            while len(stack) > level:
+                open_at[stack.pop()[0]].pop()
         elif c == '"' or c == "`":
-            stack.append((c, i))
-        elif c in PAIRS:
-            stack.append((PAIRS[c], i))
-            if c == "“" and any(x[0] == "”" for x in stack[:-1]):
-                stack.pop()
+            push(c, i)
+        elif c in PAIRS and not (c == "“" and open_at.get("”")):
+            push(PAIRS[c], i)
     return found
 
 
@@ -133,8 +140,12 @@ def _ends_block(text: str, low: int, high: int, out: list[int]) -> None:  # noqa
         out.append(place)
         begin = place
 
-    def lead(place: int) -> str:
-        return text[begin:place].strip()
+    def last_sign(place: int, least: int) -> int:
+        """Where the last sign before a place is that is no white space; below ``least`` if there is none from there on."""
+        place -= 1
+        while place >= least and text[place].isspace():
+            place -= 1
+        return place
 
     for m in _EVENT.finditer(text, low, high):
         i = m.start()
@@ -146,8 +157,8 @@ def _ends_block(text: str, low: int, high: int, out: list[int]) -> None:  # noqa
                 end(i)
             continue
         if i in partner:
-            before = lead(i)
-            frames.append([i, not before, before[-1:] in (":", "："), -1])
+            before = last_sign(i, begin)
+            frames.append([i, before < begin, before >= begin and text[before] in ":：", -1])
             continue
         if i in closes:
             while frames and frames[-1][0] != closes[i]:
@@ -203,10 +214,13 @@ def _ends_block(text: str, low: int, high: int, out: list[int]) -> None:  # noqa
             continue
         ellipsis = "…" in run or ".." in run
         if ellipsis and not any(x in "!?！？。؟।" for x in run):
-            spoken = lead(i)
-            if len(spoken) <= 4 and spoken and _caseless(spoken[-1]) or len(spoken) <= 8 and " " not in spoken and n.islower():
+            last = last_sign(i, begin)
+            first = _SPACE.match(text, begin, last + 1).end() if last >= begin else begin
+            spoken = text[first : last + 1] if last - first < 8 else ""
+            caseless = last >= begin and _caseless(text[last])
+            if last - first < 4 and caseless or last - first < 8 and " " not in spoken and n.islower():
                 continue
-            if n not in _GOES_ON and (_begins(text, k, high) or spoken and _caseless(spoken[-1])):
+            if n not in _GOES_ON and (_begins(text, k, high) or caseless):
                 end(j)
             continue
         if n in "，、；,;:：" or n in "-–—" and k == j:
@@ -214,10 +228,12 @@ def _ends_block(text: str, low: int, high: int, out: list[int]) -> None:  # noqa
         if run == ".":
             kind, place = _abbreviation(text, low, i)
             word = text[place:i]
-            if kind and word in UNITS and text[low:place].rstrip(" \t\r\n  ")[-1:].isdigit():
+            number = last_sign(place, low)
+            if kind and word in UNITS and number >= low and text[number].isdigit():
                 kind = ""
             if not kind and i - 1 >= low and text[i - 1].isupper() and not (i - 2 >= low and (text[i - 2].isalnum() or text[i - 2] in "_)")):
-                kind = "" if text[low : i - 1].rstrip()[-1:].isdigit() else "NEVER"  # an initial
+                number = last_sign(i - 1, low)
+                kind = "" if number >= low and text[number].isdigit() else "NEVER"  # an initial
             if not kind and text[i - 1].islower() and not text[i - 2 : i - 1].isalnum() and i - 1 > low and text[i - 1] not in UNITS:
                 kind = "MAYBE"  # a single letter, as in abbreviations of several words
             if kind == "NEVER":
@@ -247,14 +263,24 @@ def _ordinal(text: str, low: int, stop: int, following: int, high: int) -> bool:
     return bool(after and after[0] in MONTHS or before and before[1] in ORDINAL_BEFORE and after)
 
 
-def blocks(text: str) -> Iterator[tuple[str, int, int]]:
-    """``(unit, start, end)`` of the headings, list items, fences and paragraphs of a text, in order.
+def blocks(text: str) -> Iterator[tuple[str, int, int, int]]:
+    """``(unit, level, start, end)`` of the headings, list items, fences and paragraphs of a text, in order.
 
     A heading ends with its line.  A list item goes on until a blank line, a
-    heading, a fence or the next item of any level.
+    heading, a fence or the next item of any level; a paragraph after a blank
+    line that is indented as far as the item's text is another block of the item.
+    Levels count from 1; what stands in no list has level 0.
     """
     at, n = 0, len(text)
-    unit, begin = "", 0
+    unit, begin, level = "", 0, 0
+    levels: list[int] = []  # of the open lists: how far in their items' texts begin
+
+    def close_levels(line: str) -> int:
+        width = len(_INDENT.match(line)[0].expandtabs(4))
+        while levels and width < levels[-1]:
+            levels.pop()
+        return len(levels)
+
     while at < n:
         stop = text.find("\n", at)
         stop = n if stop < 0 else stop
@@ -262,64 +288,74 @@ def blocks(text: str) -> Iterator[tuple[str, int, int]]:
         fence = _FENCE.match(line)
         if _BLANK.match(line):
             if unit:
-                yield unit, begin, at
+                yield unit, level, begin, at
             unit = ""
         elif fence:
             if unit:
-                yield unit, begin, at
-            unit = ""
+                yield unit, level, begin, at
+            unit, level = "", close_levels(line)
             close = re.compile(r"^[ \t]*" + re.escape(fence[1][0]) + "{" + str(len(fence[1])) + r",}[ \t\r]*$", re.M).search(text, min(stop + 1, n))
             end = close.end() if close and stop < n else n
-            yield "code", at, end
+            yield "code", level, at, end
             after = text.find("\n", end)
             stop = n if after < 0 or end >= n else after
         elif _HEADING.match(line):
             if unit:
-                yield unit, begin, at
+                yield unit, level, begin, at
             unit = ""
-            yield "heading", at + _HEADING.match(line).end(), stop
+            levels.clear()
+            yield "heading", 0, at + _HEADING.match(line).end(), stop
         elif item := _ITEM.match(line):
             if unit:
-                yield unit, begin, at
-            unit, begin = "item", at + item.end()
+                yield unit, level, begin, at
+            close_levels(line)
+            levels.append(len(item[0].expandtabs(4)))
+            unit, begin, level = "item", at + item.end(), len(levels)
         elif not unit:
-            unit, begin = "text", at
+            level = close_levels(line)
+            unit, begin = "item" if level else "text", at
         at = stop + 1
     if unit:
-        yield unit, begin, n
+        yield unit, level, begin, n
 
 
 def sentence_ends(text: str | None) -> list[tuple[int, str]]:
     """``(end, unit)`` of each sentence of a text, in order."""
-    out: list[tuple[int, str]] = []
+    return [(end, unit) for end, unit, _ in leveled_ends(text)]
+
+
+def leveled_ends(text: str | None) -> list[tuple[int, str, int]]:
+    """``(end, unit, list level)`` of each sentence of a text, in order."""
+    out: list[tuple[int, str, int]] = []
     if not text or text.isspace():
         return out
-    for unit, low, high in blocks(text):
+    for unit, level, low, high in blocks(text):
         if unit == "code":
-            out.append((low + len(text[low:high].rstrip()), unit))
+            out.append((low + len(text[low:high].rstrip()), unit, level))
             continue
         ends: list[int] = []
         _ends_block(text, low, high, ends)
-        out += [(e, unit) for e in ends]
+        out += [(e, unit, level) for e in ends]
     return out
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, numbers, starts, ends, units = [], [], [], [], []
+        ids, numbers, starts, ends, units, levels = [], [], [], [], [], []
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
             text, last = text.as_py(), 0
-            for number, (end, unit) in enumerate(sentence_ends(text), 1):
+            for number, (end, unit, level) in enumerate(leveled_ends(text), 1):
                 begin = _SPACE.match(text, last).end()
                 ids.append(doc)
                 numbers.append(number)
                 starts.append(begin)
                 ends.append(end)
                 units.append(unit)
+                levels.append(level)
                 last = end
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(units, pa.string())], names=["doc_id", "sentence_no", "start_char", "end_char", "unit"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(units, pa.string()), pa.array(levels, pa.int32())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def sentences(documents: DataFrame) -> DataFrame:
-    """``doc_id, sentence_no, start_char, end_char, unit``: the sentences of every document, in order."""
-    return small_batches(spread(documents.select("doc_id", "text"))).mapInArrow(_split, SCHEMA)
+    """``doc_id, sentence_no, start_char, end_char, unit, list_level``: the sentences of every document, in order."""
+    return bounded_batches(spread(documents.select("doc_id", "text"))).mapInArrow(_split, SCHEMA)

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = 500
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def small_batches(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
-    """Texts are long: hand them to Python in batches of few rows, so that a worker's memory stays bounded."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+#: Rows that a table made on the driver may have to be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of parameters: broadcast up to a checked number of rows, beyond it an ordinary side of a join."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
 
 
 def repository(path: Column) -> Column:

@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_batches
 from . import chart, grammars, lexing
-from .sources import files_with_text, repository, small_batches
+from .sources import files_with_text, repository
 
 SCHEMA = "path string, language string, valid boolean, error_line int"
 _CLASSES = "ID NUM STR CHR TPL RE BAD LIFE CONST VAR SYM INDENT DEDENT END MODIFIER".split()
@@ -86,7 +87,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def parsed_files(files: DataFrame, source_texts: DataFrame) -> DataFrame:
     """``path, language, valid, error_line`` of each current file."""
-    return small_batches(files_with_text(files, source_texts)).mapInArrow(_parse, SCHEMA)
+    return bounded_batches(files_with_text(files, source_texts)).mapInArrow(_parse, SCHEMA)
 
 
 def invalid_rates(parsed: DataFrame) -> DataFrame:
