@@ -57,6 +57,9 @@ MINIFIED_LINE, MINIFIED_RATIO = 200, 0.8
 #: Share of the tokens that stand in reused rules (:data:`.repair.REUSED_TOKENS`) from which a file is generated.
 GENERATED_SHARE = 0.75
 
+#: Tokens that a task keeps in mind between its batches.
+REMEMBERED = 200_000
+
 _DIGITS = re.compile(r"\d+")
 _BANNER, _NOTICE, _NOT = re.compile(BANNER, re.I), re.compile(NOTICE, re.I), re.compile(NOT_BANNER, re.I)
 _RULE = pa.list_(pa.struct([("rule", pa.int64()), ("tokens", pa.int64())]))
@@ -116,9 +119,12 @@ def _sums(values: np.ndarray, owner: np.ndarray, files: int) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = {True: _Tokens(True), False: _Tokens(False)}
     for b in batches:
         texts, languages = b.column("text").to_pylist(), b.column("language").to_pylist()
-        known = {True: _Tokens(True), False: _Tokens(False)}
+        for h, t in known.items():
+            if len(t) > REMEMBERED:
+                known[h] = _Tokens(h)
         parts: list[tuple[bool, int, np.ndarray]] = []
         files = len(texts)
         lines, banner, notice = np.ones(files), np.zeros(files, bool), np.zeros(files, bool)
