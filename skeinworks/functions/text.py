@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Words that say nothing about a task.
-STOPWORDS = "the and for with that this from into how what when where why who which does did are was were has have had not can could should would will use using used add make get set fix change update implement work works about all any some our your their its".split()
+STOPWORDS = "a an and are as at be but by can do does for from how in into is it its not of on or that the their then there this to was what when where which why will with work works add fix bug code file files need make use used using".split()
 
 
 def norm(column: Column) -> Column:
@@ -69,11 +69,12 @@ def normalized(path: Column) -> Column:
     return F.concat(F.when(F.startswith(path, F.lit("/")), F.lit("/")).otherwise(F.lit("")), F.array_join(F.aggregate(parts, empty, up), "/"))
 
 
-def terms(tasks: DataFrame, key: str, text: str, most: int) -> DataFrame:
+def terms(tasks: DataFrame, key: str, text: str, most: int | None) -> DataFrame:
     """``key, term, ord``: the search terms of each task -- words of at least three characters that are no stopwords, each
-    once in its first spelling, longest first, at most ``most``.  ``ord`` counts from 1.  NULL tasks have none."""
+    once in its first spelling, longest first, at most ``most`` (None: all).  ``ord`` counts from 1.  NULL tasks have none."""
     words = tasks.select(key, F.posexplode(F.split(F.col(text), r"[^\p{L}\p{N}_$]+")).alias("pos", "term"))
     kept = words.where((F.length("term") >= 3) & ~F.lower("term").isin(*STOPWORDS))
     first = kept.groupBy(key, F.lower("term").alias("lc")).agg(F.min_by("term", "pos").alias("term"), F.min("pos").alias("pos"))
     order = Window.partitionBy(key).orderBy(F.length("term").desc(), "pos")
-    return first.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= most).select(key, "term", "ord")
+    ranked = first.withColumn("ord", F.row_number().over(order)).select(key, "term", "ord")
+    return ranked if most is None else ranked.where(F.col("ord") <= most)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..model import STRUCTURAL_KINDS, kind_rank
+from .relations import with_far_node
 
 
 def drop_structural(df: DataFrame) -> DataFrame:
@@ -64,6 +65,24 @@ def merge_hits(hits: DataFrame) -> DataFrame:
     return hits.groupBy("id").agg(F.count_distinct("term").alias("hits"), F.min("pos").alias("best"))
 
 
+def related(entries: DataFrame, edges: DataFrame, nodes: DataFrame, per_entry: int, limit: int) -> DataFrame:
+    """``seen, far, kind, site_count, line`` and the far node: callers, then callees, of each entry (``id, rank``; a few rows), at
+    most ``per_entry`` of each, every (path, line, qualified name, kind) where it is seen first, at most ``limit`` in all."""
+    calls, sides = edges.where("kind = 'calls' AND source IS NOT NULL AND target IS NOT NULL"), []
+    for side, (near, far) in enumerate((("target", "source"), ("source", "target"))):
+        mine = calls.join(entries.select(F.col("id").alias(near), "rank"), near)
+        order = F.struct(F.col("line").isNull().alias("a"), F.col("line").alias("b"), F.col("id").alias("c"))
+        groups = mine.groupBy("rank", F.col(far).alias("far"), "kind").agg(F.count("*").alias("site_count"), F.min_by("line", order).alias("line"))
+        found = with_far_node(groups, nodes)
+        first = Window.partitionBy("rank").orderBy(F.col("far_path").asc_nulls_first(), F.col("line").asc_nulls_first(), F.col("far_line").asc_nulls_first(), "far", "kind")
+        sides.append(found.withColumn("at", F.row_number().over(first)).where(F.col("at") <= per_entry).withColumn("side", F.lit(side)))
+    both = sides[0].unionByName(sides[1])
+    again = F.row_number().over(Window.partitionBy("far_path", "far_line", "far_qualified_name", "kind").orderBy("rank", "side", "at"))
+    kept = both.withColumn("again", again).where("again = 1").orderBy("rank", "side", "at").limit(limit)
+    order = Window.partitionBy(F.lit(0)).orderBy("rank", "side", "at")  # at most limit rows
+    return kept.withColumn("seen", F.row_number().over(order)).select("seen", "far", "kind", "site_count", "line", "far_name", "far_qualified_name", "far_kind", "far_path", "far_line")
+
+
 def context_entries(nodes: DataFrame, tasks: DataFrame, most_terms: int, per_term: int, limit: int) -> DataFrame:
     terms = text.terms(tasks, "task_id", "task", most_terms)
     merged = merge_hits(term_hits(nodes, terms, per_term))

@@ -9,8 +9,10 @@ orphans, whose surviving bits are decoded through the range's dictionary.
 
 Before they reach a range, references are combined to one row per (key, table,
 field, period) on the map side, so a key with a third of all rows is one row
-per task.  The rows behind an orphan are found by an ordinary join, which the
-adaptive planner splits where a key is hot.
+per task.  The rows behind an orphan are found by an ordinary join.  What it
+finds is dealt out by row before it is aggregated: without an exchange of its own
+the aggregate would hold each key's rows together, and the adaptive planner could
+not split the join where a key is hot.
 """
 
 from __future__ import annotations
@@ -129,7 +131,8 @@ def dangling_references(edges: DataFrame, unresolved_refs: DataFrame, nodes: Dat
     """
     refs = references(edges, unresolved_refs, files)
     keys = orphan_keys(refs, nodes, 2 * edges.count() + unresolved_refs.count() + nodes.count()).select("key").distinct()
-    return refs.join(keys, "key", "left_semi").groupBy("ref_table", "row_id", "field", "key").agg(F.min("period").alias("period"))
+    found = refs.join(keys, "key", "left_semi").repartition("row_id", "field")
+    return found.groupBy("ref_table", "row_id", "field", "key").agg(F.min("period").alias("period"))
 
 
 def dangling_report(edges: DataFrame, unresolved_refs: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
@@ -157,7 +160,7 @@ def dangling_periods(edges: DataFrame, unresolved_refs: DataFrame, nodes: DataFr
     are compared exactly, as a node and a reference may share their month.
     """
     missing = dangling_report(edges, unresolved_refs, nodes, files).select("ref_table", "period", F.col("n_references").alias("n_missing"), F.col("n_keys").alias("n_missing_keys"), F.lit(0).cast("long").alias("n_later"), F.lit(0).cast("long").alias("n_later_keys"))
-    refs = references(edges, unresolved_refs, files).join(late_nodes(nodes, files), "key").where("at IS NULL OR at < since")
+    refs = references(edges, unresolved_refs, files).join(late_nodes(nodes, files), "key").where("at IS NULL OR at < since").repartition("row_id", "field")
     later = refs.groupBy("ref_table", "period", "key").agg(F.count("*").alias("n")).groupBy("ref_table", "period").agg(F.sum("n").alias("n_later"), F.count("*").alias("n_later_keys"))
     both = missing.unionByName(later.withColumns({"n_missing": F.lit(0).cast("long"), "n_missing_keys": F.lit(0).cast("long")}))
     return both.groupBy("ref_table", "period").agg(*[F.sum(x).alias(x) for x in ("n_missing", "n_missing_keys", "n_later", "n_later_keys")])

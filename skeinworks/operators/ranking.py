@@ -2,18 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..model import NODE_COLUMNS, kind_rank
+from ..session import cut_lineage, measured_side
+
+
+EDGE_FIELDS = ("source", "target", "kind", "line", "col", "provenance")
+
+
+def latest(table: DataFrame, key: str, at: str, columns: Iterable[str]) -> DataFrame:
+    """One row per key: the one with the greatest ``at`` (ties: the greatest values of the columns asked for, in their order).
+
+    Only the key and these columns are read and shuffled.  Rows without a key are dropped, extra columns too.
+    """
+    rest = [c for c in columns if c != key]
+    newest = F.max(F.struct(F.col(at).alias("_at"), *rest)).alias("n")
+    return table.where(F.col(key).isNotNull()).groupBy(key).agg(newest).select(key, *[f"n.{c}" for c in rest])
+
+
+def latest_where(table: DataFrame, key: str, at: str, columns: Iterable[str], wanted: Column) -> DataFrame:
+    """The rows of :func:`latest` that are wanted.
+
+    The filter reaches the scan: it finds the keys of which any row is wanted, and only all rows of these keys are compared.
+    """
+    keys = cut_lineage(table.where(wanted & F.col(key).isNotNull()).select(key).distinct())
+    return latest(table.join(measured_side(keys), key, "left_semi"), key, at, columns).where(wanted)
 
 
-def current_nodes(nodes: DataFrame) -> DataFrame:
-    """One row per id: the greatest ``updated_at`` (ties: the greatest row).  NULL ids are dropped; extra columns too."""
-    rest = [c for c in NODE_COLUMNS if c != "id"]
-    newest = F.max(F.struct(F.col("updated_at").alias("_at"), *rest)).alias("n")
-    return nodes.where("id IS NOT NULL").groupBy("id").agg(newest).select("id", *[f"n.{c}" for c in rest])
+def latest_of(table: DataFrame, key: str, at: str, columns: Iterable[str], keys: DataFrame) -> DataFrame:
+    """The rows of :func:`latest` of the given keys."""
+    written = cut_lineage(keys.select(key).distinct())
+    return latest(table.join(measured_side(written), key, "left_semi"), key, at, columns)
+
+
+def settled(table: DataFrame, key: str, at: str, columns: Iterable[str]) -> DataFrame:
+    """The rows of :func:`latest`, for many scans of one table: what repeated keys come to is written once; the rows of all other
+    keys, nearly the whole table, are read where they lie, with filters and columns pushed to their scan."""
+    columns = list(columns)
+    rows = table.where(F.col(key).isNotNull())
+    repeated = cut_lineage(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    side = measured_side(repeated)
+    again = cut_lineage(latest(rows.join(side, key, "left_semi"), key, at, columns))
+    return rows.join(side, key, "left_anti").select(*again.columns).unionByName(again)
+
+
+def current_nodes(nodes: DataFrame, columns: Iterable[str] = NODE_COLUMNS) -> DataFrame:
+    """One row per id: the greatest ``updated_at``."""
+    return latest(nodes, "id", "updated_at", columns)
 
 
 def matches_symbol(symbol: str) -> Column:
@@ -46,16 +86,20 @@ def resolve_symbol(nodes: DataFrame, symbol: str, limit: int) -> DataFrame:
     return nodes.where(matches_symbol(symbol)).orderBy(*by_rank(symbol_tier(symbol))).limit(limit)
 
 
-def search_matches(nodes: DataFrame, query: str, kind: str | None = None, language: str | None = None, full_text: bool = True) -> DataFrame:
-    """All nodes that match: part of the name or qualified name, or a phrase with an open end in id, names or documentation."""
+def is_match(query: str, kind: str | None = None, language: str | None = None, full_text: bool = True) -> Column:
+    """Part of the name or qualified name, or a phrase with an open end in id, names or documentation."""
     q = query.lower()
     hit = F.contains(F.lower("name"), F.lit(q)) | F.contains(F.lower("qualified_name"), F.lit(q))
     if full_text:
         for c in ("id", "name", "qualified_name", "docstring", "signature"):
             hit = hit | F.coalesce(text.phrase_prefix(F.col(c), query), F.lit(False))
-    found = nodes.where(hit)
-    found = found.where(F.col("kind") == kind) if kind is not None else found
-    return found.where(F.col("language") == language) if language is not None else found
+    hit = hit & (F.col("kind") == kind) if kind is not None else hit
+    return hit & (F.col("language") == language) if language is not None else hit
+
+
+def search_matches(nodes: DataFrame, query: str, kind: str | None = None, language: str | None = None, full_text: bool = True) -> DataFrame:
+    """All nodes that match."""
+    return nodes.where(is_match(query, kind, language, full_text))
 
 
 def search(nodes: DataFrame, query: str, limit: int, kind: str | None = None, language: str | None = None, full_text: bool = True) -> DataFrame:
@@ -64,9 +108,9 @@ def search(nodes: DataFrame, query: str, limit: int, kind: str | None = None, la
 
 
 def list_files(files: DataFrame, folder: str | None = None, pattern: str | None = None) -> DataFrame:
-    """The files below a folder and of a glob; the newest row of each path."""
-    found = files.where("path IS NOT NULL").groupBy("path").agg(F.max(F.struct("indexed_at", "content_hash", "language", "size", "modified_at", "node_count")).alias("f"))
-    found = found.select("path", "f.language", "f.size", "f.modified_at", "f.indexed_at", "f.node_count")
+    """The files below a folder and of a glob; the newest row of each path.  Both only look at the path and reach the scan."""
+    found = latest(files, "path", "indexed_at", ("content_hash", "language", "size", "modified_at", "node_count", "indexed_at")).drop("content_hash")
+    found = found.select("path", "language", "size", "modified_at", "indexed_at", "node_count")
     found = found.where(text.subtree(F.col("path"), folder)) if folder is not None else found
     return found.where(F.col("path").rlike(text.glob(pattern))) if pattern is not None else found
 
@@ -74,7 +118,7 @@ def list_files(files: DataFrame, folder: str | None = None, pattern: str | None
 def status(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
     """One row: counts and when the graph was last indexed (0 and none mean NULL)."""
     f = list_files(files).agg(F.count("*").alias("file_count"), F.nullif(F.max("indexed_at"), F.lit(0)).alias("indexed_at"))
-    n, e = current_nodes(nodes).agg(F.count("*").alias("node_count")), edges.agg(F.count("*").alias("edge_count"))
+    n, e = nodes.agg(F.count_distinct("id").alias("node_count")), edges.agg(F.count("*").alias("edge_count"))
     one = F.lit(1).alias("one")
     joined = f.select("*", one).join(n.select("*", one), "one").join(e.select("*", one), "one")
     return joined.select("file_count", "node_count", "edge_count", "indexed_at")
@@ -99,16 +143,15 @@ def stale_count(files: DataFrame, live: DataFrame, most: int) -> DataFrame:
     return n.join(more, "one").drop("one")
 
 
-def current_edges(edges: DataFrame) -> DataFrame:
-    """One row per edge id: the latest recorded one.  Rows without an id are dropped; extra columns too."""
-    rest = ["source", "target", "kind", "line", "col", "provenance"]
-    newest = F.max(F.struct(F.col("recorded_at").alias("_at"), *rest)).alias("e")
-    return edges.where("id IS NOT NULL").groupBy("id").agg(newest).select("id", *[f"e.{c}" for c in rest])
+def current_edges(edges: DataFrame, columns: Iterable[str] = EDGE_FIELDS) -> DataFrame:
+    """One row per edge id: the latest recorded one."""
+    return latest(edges, "id", "recorded_at", columns)
 
 
 def most_called(edges: DataFrame, nodes: DataFrame) -> str | None:
-    """The node with the most call edges into it (ties: the least id); one value."""
-    top = edges.where("kind = 'calls'").join(nodes.select(F.col("id").alias("target")), "target").groupBy("target").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "target").first()
+    """The node with the most call edges into it (ties: the least id); one value.  ``nodes`` may repeat an id."""
+    called = edges.where("kind = 'calls'").groupBy("target").agg(F.count("*").alias("n"))
+    top = called.join(nodes.select(F.col("id").alias("target")), "target", "left_semi").orderBy(F.col("n").desc(), "target").first()
     return top["target"] if top else None
 
 

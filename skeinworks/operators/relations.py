@@ -37,7 +37,10 @@ def relations(edges: DataFrame, nodes: DataFrame, anchor: str, incoming: bool, k
 
 def totals(edges: DataFrame, nodes: DataFrame, incoming: bool, kind: str | None) -> DataFrame:
     """``near, total, rendered``: per anchor, groups counted without and with a far node."""
-    g = grouped(edges, None, incoming, kind)
+    near, far = ("target", "source") if incoming else ("source", "target")
+    e = edges.where(F.col(near).isNotNull() & F.col(far).isNotNull())
+    e = e.where(F.col("kind") == kind) if kind is not None else e
+    g = e.select(F.col(near).alias("near"), F.col(far).alias("far"), "kind").distinct()
     known = nodes.select(F.col("id").alias("far"), F.lit(1).alias("known"))
     return g.join(known, "far", "left").groupBy("near").agg(F.count("*").alias("total"), F.count("known").alias("rendered"))
 

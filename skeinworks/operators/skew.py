@@ -31,11 +31,12 @@ def key_profile(edges: DataFrame) -> DataFrame:
 
 
 def hot_keys(edges: DataFrame, share: float = 0.01) -> DataFrame:
-    """The groups of :func:`key_profile` that hold at least ``share`` of all rows, without NULL and blank targets.
+    """``target, kind, n_sites`` of the groups that hold at least ``share`` of all rows, without NULL and blank targets.
 
-    Both sides of the comparison come from the same partial aggregates: the
-    total is one number, fetched from the table's own row count.
+    A plain count: each task's hash table keeps one number per group, and only these numbers are shuffled.  The total is the
+    table's own row count.
     """
     total = edges.count()
     named = F.col("target").rlike(r"[^\s\u00a0\u3000]")  # neither NULL nor blank
-    return key_profile(edges).where(named).where(F.col("n_sites") >= math.ceil(total * share - 1e-6))
+    counts = edges.where(named).groupBy("target", "kind").agg(F.count("*").alias("n_sites"))
+    return counts.where(F.col("n_sites") >= math.ceil(total * share - 1e-6))

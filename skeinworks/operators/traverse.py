@@ -1,10 +1,12 @@
 """Impact and trace: bounded breadth-first walks as a loop of joins.
 
 A level is one join of the frontier with the edges, one aggregate that keeps
-the first edge into each node, and one anti-join with what was seen.  Levels
-are written to the checkpoint folder, so plans stay shallow and executors may
-be lost.  All results stay distributed; the driver learns only whether a level
-is empty and how much of the budget is left.
+the first edge into each node, and one anti-join with what was seen.  The edges
+are read where they lie, by each level's scan; only what a level found is
+written, to the checkpoint folder, so plans stay shallow and executors may be
+lost.  Frontiers and what was seen are broadcast as long as their measured size
+is small, and joined by a shuffle beyond it.  All results stay distributed; the
+driver learns only sizes, and whether the goal was reached.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, join_side, measured
 
 
 def _usable(edges: DataFrame, kinds: list[str] | None) -> DataFrame:
@@ -24,43 +26,43 @@ def walk(edges: DataFrame, origins: DataFrame, depth: int, incoming: bool, kinds
     """``id, distance, via, edge_id`` of every node within ``depth``, origins (``id``) included with distance 0, and whether
     the budget of nodes ran out.  Each node has its least distance and the kind of the first edge (least edge id) that
     reached it.  A budget is filled level by level, in the order of those edges; origins count."""
-    return _walk(cut_lineage(_usable(edges, kinds)), origins, depth, incoming, budget)
+    seen, exhausted, _ = _walk(_usable(edges, kinds), origins, depth, incoming, budget)
+    return seen, exhausted
 
 
-def _walk(e: DataFrame, origins: DataFrame, depth: int, incoming: bool, budget: int | None, goal: str | None = None) -> tuple[DataFrame, bool]:
-    """As :func:`walk` over edges that are written already; ends with the level that reaches ``goal``."""
+def _walk(e: DataFrame, origins: DataFrame, depth: int, incoming: bool, budget: int | None, goal: str | None = None) -> tuple[DataFrame, bool, int | None]:
+    """As :func:`walk`; ends with the level that reaches ``goal`` and tells its distance."""
     near, far = ("target", "source") if incoming else ("source", "target")
     seen = cut_lineage(origins.where("id IS NOT NULL").select("id").distinct().selectExpr("id", "0 AS distance", "CAST(NULL AS STRING) AS via", "CAST(NULL AS BIGINT) AS edge_id"))
+    n, size = measured(seen.select("id"))
+    total, total_size = n, size
     frontier, exhausted = seen.select(F.col("id").alias(near)), False
-    left = None if budget is None else budget - seen.count()
+    left = None if budget is None else budget - n
     for level in range(1, depth + 1):
+        found = _step(e, join_side(frontier, n, size), near, far, join_side(seen.select("id"), total, total_size))
         if left is not None and left <= 0:
-            exhausted = not _step(e, frontier, near, far, seen).isEmpty()
+            exhausted = not found.isEmpty()
             break
-        new = _step(e, frontier, near, far, seen).select("id", F.lit(level).alias("distance"), "via", "edge_id")
-        if left is not None:
-            ordered = new.orderBy("edge_id", "id").limit(left + 1)
-            new = cut_lineage(ordered)
-            n = new.count()
-            if n > left:
-                exhausted, new = True, cut_lineage(new.orderBy("edge_id", "id").limit(left))
-            left -= min(n, left)
-        else:
-            new = cut_lineage(new)
-        if new.isEmpty():
+        new = found.select("id", F.lit(level).alias("distance"), "via", "edge_id")
+        new = cut_lineage(new if left is None else new.orderBy("edge_id", "id").limit(left + 1))
+        n, size = measured(new.select("id"))
+        if left is not None and n > left:
+            exhausted, new, n = True, cut_lineage(new.orderBy("edge_id", "id").limit(left)), left
+        if not n:
             break
-        seen = seen.unionByName(new)
+        left = None if left is None else left - n
+        seen, total, total_size = seen.unionByName(new), total + n, total_size + size
         if goal is not None and not new.where(F.col("id") == goal).isEmpty():
-            break
+            return seen, exhausted, level
         frontier = new.select(F.col("id").alias(near))
         if exhausted:
             break
-    return seen, exhausted
+    return seen, exhausted, None
 
 
 def _step(e: DataFrame, frontier: DataFrame, near: str, far: str, seen: DataFrame) -> DataFrame:
     hit = e.join(frontier, near, "left_semi").groupBy(F.col(far).alias("id")).agg(F.min_by("kind", "edge_id").alias("via"), F.min("edge_id").alias("edge_id"))
-    return hit.join(seen.select("id"), "id", "left_anti")
+    return hit.join(seen, "id", "left_anti")
 
 
 def impact(edges: DataFrame, origins: DataFrame, depth: int, kinds: list[str] | None = None, budget: int | None = None) -> tuple[DataFrame, bool]:
@@ -82,23 +84,23 @@ def trace(edges: DataFrame, nodes: DataFrame, start: str, goal: str, max_depth:
     if start == goal:
         return spark.createDataFrame([(1, [(start, None, None)])], schema)
     origin = spark.createDataFrame([(start,)], "id string")
-    e = cut_lineage(_usable(edges, kinds))
-    seen, _ = _walk(e, origin, max_depth, False, budget, goal)
-    found = seen.where(F.col("id") == goal).select("distance").first()
-    if found is None:
+    e = _usable(edges, kinds)
+    seen, _, length = _walk(e, origin, max_depth, False, budget, goal)
+    if length is None:
         return spark.createDataFrame([], schema)
-    length = found["distance"]
-    step = e.groupBy("source", "target").agg(F.min("edge_id").alias("edge_id"), F.min_by("kind", "edge_id").alias("kind"))
-    near = seen.select(F.col("id").alias("source"), F.col("distance").alias("d"))
-    after = seen.select(F.col("id").alias("target"), F.col("distance").alias("d2"))
-    layered = cut_lineage(step.join(near, "source").join(after, "target").where("d2 = d + 1").select("source", "target", "edge_id", "kind", "d"))
+    n, size = measured(seen.select("id"))
+    near = join_side(seen.select(F.col("id").alias("source"), F.col("distance").alias("d")), n, size)
+    after = join_side(seen.select(F.col("id").alias("target"), F.col("distance").alias("d2")), n, size)
+    between = e.join(near, "source").join(after, "target").where("d2 = d + 1")
+    # parallel edges meet only after the layers have filtered them
+    layered = cut_lineage(between.groupBy("source", "target", "d").agg(F.min("edge_id").alias("edge_id"), F.min_by("kind", "edge_id").alias("kind")))
     # backwards from the goal: only edges on a shortest path stay
     useful, at = [], spark.createDataFrame([(goal,)], "target string")
     for level in range(length - 1, -1, -1):
         part = cut_lineage(layered.where(F.col("d") == level).join(at, "target", "left_semi"))
         useful.append(part)
         at = part.select(F.col("source").alias("target")).distinct()
-    known = nodes.select("id")
+    known = nodes.select("id").distinct()
     first = F.array(F.struct(F.lit(start).alias("node"), F.lit(None).cast("bigint").alias("edge_id"), F.lit(None).cast("string").alias("kind")))
     paths = spark.createDataFrame([(start,)], "at string").withColumn("hops", first).withColumn("ids", F.array().cast("array<bigint>"))
     for part in reversed(useful):

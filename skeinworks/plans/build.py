@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import flag
 from ..operators import extract, resolution
 from ..session import cut_lineage
 from .graph import edges, nodes
@@ -98,25 +97,15 @@ def index_report(spark, folder):
 
 
 def unique_names(spark, folder):
-    return resolution.unique_names(nodes(spark, folder).where("kind <> 'file'"))
-
-
-def resolve_refs(spark, folder):
-    """The stored open references, resolved again by the workspace-wide rule."""
-    refs = table(spark, folder, "unresolved_refs").select(F.col("file_path").alias("path"), F.lit(None).cast("string").alias("caller_key"), "callee_name", "line", "col", F.lit(False).alias("is_member_call"))
-    none = table(spark, folder, "source_texts").where("false")
-    imports = none.selectExpr("path", "0 AS ord", "path AS local_name", "path AS imported_name", "path AS specifier")
-    resolved = none.selectExpr("path", "0 AS ord", "path AS local_name", "path AS imported_name", "path AS target")
-    declared = nodes(spark, folder).where("kind <> 'file'").withColumn("is_exported", flag("is_exported"))
-    return resolution.resolved_calls(refs, declared, resolved, imports).select("source", "callee_name", "target", "line", "col")
+    return resolution.unique_names(nodes(spark, folder, ("kind", "name")).where("kind <> 'file'"))
 
 
 def stored_call_degree(spark, folder):
     """Calls into and out of every node of the stored graph."""
-    e = edges(spark, folder).where("kind = 'calls' AND source IS NOT NULL AND target IS NOT NULL")
+    e = edges(spark, folder, ("source", "target", "kind")).where("kind = 'calls' AND source IS NOT NULL AND target IS NOT NULL")
     out, into = (e.groupBy(F.col(c).alias("id")).agg(F.count("*").alias(n)) for c, n in (("source", "calls_out"), ("target", "calls_in")))
-    n = nodes(spark, folder).select("id")
+    n = table(spark, folder, "nodes").where("id IS NOT NULL").select("id").distinct()
     return n.join(out, "id", "left").join(into, "id", "left").select("id", F.coalesce("calls_out", F.lit(0)).alias("calls_out"), F.coalesce("calls_in", F.lit(0)).alias("calls_in"))
 
 
-QUERIES = (extract_definitions, extract_calls, extract_imports, specifier_candidates, contains_edges, imports_edges, call_edges, unresolved_calls, heritage_edges, build_nodes, build_edges, index_report, unique_names, resolve_refs, stored_call_degree)
+QUERIES = (extract_definitions, extract_calls, extract_imports, specifier_candidates, contains_edges, imports_edges, call_edges, unresolved_calls, heritage_edges, build_nodes, build_edges, index_report, unique_names, stored_call_degree)

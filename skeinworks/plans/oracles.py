@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .graph_sql import SQL
+from .stored_sql import SQL as STORED_SQL
 
 P2_FOUND = """
 SELECT target, kind FROM edges
@@ -49,4 +50,4 @@ FROM cases GROUP BY ref_table, period
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p3_found": P3_FOUND, "p3_report": P3_REPORT, "p3_periods": P3_PERIODS} | SQL
+    return {"p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p3_found": P3_FOUND, "p3_report": P3_REPORT, "p3_periods": P3_PERIODS} | SQL | STORED_SQL

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import orphans, skew
-from . import build, graph
+from . import build, graph, stored
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,4 +38,4 @@ def p3_periods(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_report, p3_periods, *graph.QUERIES, *build.QUERIES)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_report, p3_periods, *graph.QUERIES, *build.QUERIES, *stored.QUERIES)}

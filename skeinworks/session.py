@@ -8,6 +8,7 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .model import GraphError
 
@@ -24,6 +25,26 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Rows and bytes up to which a table is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 * 1024 * 1024
+
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of the values of a narrow table that is written already."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(8))
+    r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return r["n"], r["b"]
+
+
+def join_side(df: DataFrame, rows: int, size: int) -> DataFrame:
+    """A measured table as a side of a join: broadcast where it is small, else as it is, so that both sides are shuffled."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+
+def measured_side(df: DataFrame) -> DataFrame:
+    return join_side(df, *measured(df))
+
+
 #: Rows and bytes of one batch that goes to Python.
 BATCH_ROWS, BATCH_BYTES = 1000, 32 * 1024 * 1024
 
