@@ -69,6 +69,12 @@ PATTERNS = {
     ),
 }
 
+#: For languages with strings in single and double quotes, ``#`` comments and ``$`` before names.
+QUOTED = _cut(
+    _LINE, _BLOCK, r"\#(?!\[)[^\n]*", _ID, r"'''[\s\S]*?'''|\"\"\"[\s\S]*?\"\"\"", r'"(?:[^"\\]|\\[\s\S])*"', r"'(?:[^'\\]|\\[\s\S])*'",
+    r"\d+\.(?![\w.])", _NUM, r"<=>|\?->|\?\?=?|===?|!==?", _OPERATORS["java"],
+)
+
 #: Whether findall gives more than one group, of which the first is the token.
 _GROUPED = {name: p.groups > 1 for name, p in PATTERNS.items()}
 

@@ -19,13 +19,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexing import KEYWORDS, PATTERNS
+from ..functions.lexing import KEYWORDS, PATTERNS, QUOTED
 from ..session import bounded_batches, spread
 
 # File extensions of the supported languages.
 EXTENSIONS = {".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".jsx": "jsx", ".py": "python", ".pyi": "python", ".go": "go", ".java": "java", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hh": "cpp", ".hxx": "cpp", ".cs": "csharp", ".php": "php", ".rs": "rust", ".rb": "ruby", ".zig": "zig", ".kt": "kotlin", ".kts": "kotlin", ".swift": "swift", ".dart": "dart", ".scala": "scala", ".sc": "scala"}
 #: Lexer tables that serve more than one language.
-LEXERS = {"tsx": "typescript", "jsx": "javascript", "cpp": "c", "csharp": "java", "kotlin": "java", "scala": "java", "swift": "java", "dart": "java", "php": "java", "zig": "c"}
+LEXERS = {"tsx": "typescript", "jsx": "javascript", "cpp": "c", "csharp": "java", "kotlin": "java", "scala": "java", "swift": "java", "dart": "quoted", "php": "quoted", "zig": "c"}
+_LEXERS = PATTERNS | {"quoted": QUOTED}
 
 DEFINITION = "key string, parent_key string, kind string, name string, container array<string>, start_line int, end_line int, start_column int, end_column int, is_exported boolean, is_async boolean, is_static boolean, decorators array<string>"
 CALL = "caller_key string, callee_name string, line int, col int, is_member_call boolean"
@@ -119,6 +120,20 @@ _FUNCTION_WORDS = {"function", "func", "fn", "fun", "def"}
 _NOT_CALLED = frozenset("if for while switch catch return function sizeof await foreach lock using when elif match guard".split())
 _MEMBER = frozenset([".", "->", "::", "?.", "&."])
 _TYPED = frozenset(["java", "c", "cpp", "csharp", "dart"])
+#: Words that borrowed lexers do not reserve, and that name nothing.
+_RESERVED = {
+    "kotlin": "fun val var object when is in as typealias companion data sealed open internal inline override by constructor init",
+    "scala": "def val var object trait extends with override lazy implicit type match case given using yield",
+    "swift": "func var let protocol extension guard in is as init deinit inout where defer override mutating",
+    "php": "function fn use trait namespace echo array list foreach as match readonly",
+    "csharp": "using namespace get set override virtual readonly string bool object var foreach in is as lock async await params out ref internal sealed partial where",
+    "dart": "import library part mixin extends implements with late required factory get set operator as is in async await show hide",
+    "cpp": "class public private protected virtual override final template typename namespace using new delete operator noexcept constexpr explicit friend this throw try catch mutable",
+    "zig": "fn pub var comptime test usingnamespace try catch orelse and or defer errdefer align error anytype",
+}
+#: Before or after these a line break does not end a declaration's head.
+_CONTINUES = frozenset("{ ( , : = . with extends implements where -> & |".split())
+_JS = frozenset(["javascript", "typescript", "jsx", "tsx"])
 
 
 @dataclass
@@ -130,11 +145,11 @@ class Token:
 
 def lex(text: str, language: str) -> list[Token]:
     """Tokens with their places; comments are left out, line breaks kept."""
-    hashes = language in ("python", "ruby", "php")
+    hashes = language in ("python", "ruby")
     out, line, begin = [], 1, 0
-    for m in PATTERNS[LEXERS.get(language, language)].finditer(text):
+    for m in _LEXERS[LEXERS.get(language, language)].finditer(text):
         x, at = m[1], m.start(1)
-        comment = x[0] == "#" if hashes else x.startswith(("//", "/*")) or language in ("c", "cpp") and x == "\\\n"
+        comment = x[0] == "#" if hashes else x.startswith(("//", "/*")) or language == "php" and x[0] == "#" or language in ("c", "cpp") and x == "\\\n"
         if not comment:
             out.append(Token(x if not x.isspace() else "\n", line, at - begin))
         breaks = x.count("\n")
@@ -169,8 +184,8 @@ def token_walk(text: str, language: str) -> Extraction:  # noqa: C901, PLR0912,
         text = re.sub(r"(?m)^[ \t]*#(?:[^\n\\]|\\.)*", lambda m: " " * len(m[0]) if "include" not in m[0] else m[0], text)
     out, tokens = Extraction(), lex(text, language)
     pair = _match(tokens)
-    words = set(KEYWORDS.get(LEXERS.get(language, language), "").split())
-    ruby, js = language == "ruby", language in ("javascript", "typescript", "jsx", "tsx")
+    words = set(KEYWORDS.get({"quoted": "java"}.get(LEXERS.get(language, ""), LEXERS.get(language, language)), "").split()) | set(_RESERVED.get(language, "").split())
+    ruby, js, open_ended = language == "ruby", language in _JS, language in ("kotlin", "scala", "swift")
     scope: list[Scope] = []
     until: list[int] = []  # token index at which each scope ends
     ends = _ruby_ends(tokens) if ruby else {}
@@ -191,6 +206,8 @@ def token_walk(text: str, language: str) -> Extraction:  # noqa: C901, PLR0912,
     def body(k: int) -> int:
         """The opening brace of a declaration's body after token k, -1 if a terminator comes first."""
         while k < n and txt(k) not in ("{", ";"):
+            if txt(k) == "\n" and open_ended and txt(k + 1) not in _CONTINUES and txt(k - 1) not in _CONTINUES:
+                return -1
             if txt(k) == "\n" and js and txt(k + 1) not in ("{",) and txt(k - 1) not in (",", "(", "|", "&", ":", "=>"):
                 return -1
             k = pair.get(k, k) + 1 if txt(k) in ("(", "[") else k + 1
@@ -217,9 +234,10 @@ def token_walk(text: str, language: str) -> Extraction:  # noqa: C901, PLR0912,
         flags = {"is_async": "async" in head or js and "async" in [txt(at + 2)], "is_static": "static" in head, "is_exported": _exported(language, txt(at), head, scope)}
         while language in ("java", "csharp", "kotlin", "scala") and txt(start - 1) == "\n" and txt(statement_start(start - 1)) == "@":
             start = statement_start(start - 1)  # annotations on lines of their own
-        key = out.define(kind, txt(at), place(start), stop(finish), scope, **flags)
+        name = "~" + txt(at) if language == "cpp" and txt(at - 1) == "~" else txt(at)
+        key = out.define(kind, name, place(start), stop(finish), scope, **flags)
         if sort:
-            open_scope(key, txt(at), sort, finish)
+            open_scope(key, name, sort, finish)
         return key
 
     while i < n:
@@ -236,16 +254,28 @@ def token_walk(text: str, language: str) -> Extraction:  # noqa: C901, PLR0912,
             i = step
             continue
         start = statement_start(i)
+        step = _declared_value(language, i, start, here, txt, name_at, line_end, body, pair, declare, out, scope, tokens, place, stop)
+        if step:
+            i = step
+            continue
         if t in _CLASS_WORDS and name_at(i + 1) and txt(i - 1) not in (".", "::", "new") and not (language == "go" or language in ("c", "cpp") and txt(i + 2) not in ("{", ":")) and not (js and t in ("module", "namespace", "record", "object", "extension", "struct", "union", "mixin", "protocol", "trait")):
-            kind = _CLASS_WORDS[t]
+            kind = "enum" if language == "kotlin" and "enum" in [txt(k) for k in range(start, i)] else _CLASS_WORDS[t]
             opening = ends.get(i, -1) if ruby else body(i + 1)
             if opening >= 0:
                 finish = ends[i] if ruby else pair.get(opening, n - 1)
                 key = declare(kind, i + 1, start, finish, _SCOPE_OF.get(kind, "class"))
                 _bases(out, tokens, key, i + 2, (opening if not ruby else i + 6), txt, language)
                 i = (opening + 1) if not ruby else i + 2
-                if kind == "enum":
+                if kind == "enum" and language not in ("php", "swift"):
                     _enum_members(out, tokens, opening + 1, finish, pair, scope, txt, place, stop)
+                if language == "scala" and txt(i if ruby else opening) == "{":
+                    _parameters(opening, start, txt, pair, name_at, declare)
+                continue
+            if language in ("kotlin", "scala") and opening < 0:  # a class without a body
+                finish = line_end(i)
+                key = declare(kind, i + 1, start, finish, None)
+                _bases(out, tokens, key, i + 2, finish + 1, txt, language)
+                i += 2
                 continue
             if language == "rust" or js:
                 declare(kind, i + 1, start, line_end(i), None)
@@ -309,6 +339,10 @@ def token_walk(text: str, language: str) -> Extraction:  # noqa: C901, PLR0912,
             after = txt(i + 1)
             if after == "(" and (language != "go") and language != "rust":
                 opening = body(pair.get(i + 1, i + 1))
+                if opening < 0 and language == "cpp" and (head or txt(i - 1) == "~" or t == scope[-1].name) and not {"=", "return", "new", ".", "(", ","} & set(head):
+                    declare("method", i, start, line_end(i), None)  # declared here, defined elsewhere
+                    i = line_end(i) + 1
+                    continue
                 if opening >= 0 and (js and all(h in ("async", "static", "get", "set", "public", "private", "protected", "readonly", "override", "*", "abstract") for h in head) or language in _TYPED and not {"=", "return", "new", "."} & set(head)):
                     begin = start
                     declare("method", i, begin, pair.get(opening, n - 1), "other")
@@ -336,7 +370,7 @@ def token_walk(text: str, language: str) -> Extraction:  # noqa: C901, PLR0912,
                 declare("field", i, start, k - 1, None)
                 i = k + 1
                 continue
-        if language in ("c", "cpp") and not scope and name_at(i) and txt(i + 1) == "(" and start < i and not {"=", "return"} & {txt(k) for k in range(start, i)}:
+        if language in ("c", "cpp") and here == "module" and name_at(i) and txt(i + 1) == "(" and start < i and not {"=", "return"} & {txt(k) for k in range(start, i)}:
             opening = body(pair.get(i + 1, i + 1))
             if opening >= 0:
                 declare("function", i, start, pair.get(opening, n - 1), "other")
@@ -355,12 +389,105 @@ def token_walk(text: str, language: str) -> Extraction:  # noqa: C901, PLR0912,
                 first -= 2
                 while txt(first) in (")", "]") and first in pair:
                     first = pair[first] - 1
-            if txt(i - 1) != "new" and language != "dart":
+            if txt(i - 1) not in ("new", "~", "@") and language != "dart":
                 out.call(scope, t, place(max(first, 0)), member)
         i += 1
+    if js:
+        exported = _common_js(txt, n, pair)
+        for d in out.definitions:
+            if not d["container"] and d["name"] in exported:
+                d["is_exported"] = True
     return out
 
 
+def _common_js(txt: Callable[[int], str], n: int, pair: dict[int, int]) -> set[str]:
+    """Names that top-level statements export: ``exports.X =``, ``module.exports.X =`` and ``module.exports = X``."""
+    found, k, fresh = set(), 0, True
+    while k < n:
+        if fresh and txt(k) in ("module", "exports"):
+            at = k + 2 if txt(k) == "module" and txt(k + 1) == "." and txt(k + 2) == "exports" else k
+            if txt(at) == "exports" and txt(at + 1) == "." and txt(at + 3) == "=":
+                found.add(txt(at + 2))
+            elif at > k and txt(at + 1) == "=" and _NAME.match(txt(at + 2)) and txt(at + 3) in ("\n", ";", ""):
+                found.add(txt(at + 2))
+        fresh = txt(k) in ("\n", ";")
+        k = pair.get(k, k) + 1 if txt(k) in ("(", "[", "{") else k + 1
+    return found
+
+
+def _declared_value(language: str, i: int, start: int, here: str, txt: Callable, name_at: Callable, line_end: Callable, body: Callable, pair: dict[int, int], declare: Callable, out: Extraction, scope: list[Scope], tokens: list[Token], place: Callable, stop: Callable) -> int:
+    """Fields, constants, properties and values of the languages that borrow a lexer; the index after one, or 0."""
+    t = txt(i)
+    if here == "other":
+        return 0
+    if language == "zig" and t in ("const", "var") and name_at(i + 1):
+        k = i + 2
+        while txt(k) not in ("=", ";", ""):
+            k = pair.get(k, k) + 1 if txt(k) in ("(", "[", "{") else k + 1
+        value = k + 1 + (txt(k + 1) in ("extern", "packed"))
+        if txt(k) == "=" and txt(value) in ("struct", "union", "enum"):
+            opening = body(value)
+            if opening >= 0:
+                kind, finish = "enum" if txt(value) == "enum" else "struct", pair.get(opening, len(tokens) - 1)
+                declare(kind, i + 1, start, finish, "class")
+                if kind == "enum":
+                    _enum_members(out, tokens, opening + 1, finish, pair, scope, txt, place, stop)
+                return opening + 1
+        if txt(value) == "@" and txt(value + 1) == "import" and txt(value + 3)[:1] == '"':
+            out.bind(txt(i + 1), "*", txt(value + 3).strip('"'))
+        finish = line_end(i)
+        declare("variable" if t == "var" else "constant", i + 1, start, finish, None)
+        return k if txt(k) == "=" else finish + 1
+    if language == "zig" and here == "class" and name_at(i) and txt(i + 1) == ":" and txt(i - 1) in ("{", ",", "\n"):
+        k = i + 2
+        while txt(k) not in (",", "}", "", ";"):
+            k = pair.get(k, k) + 1 if txt(k) in ("(", "[", "{") else k + 1
+        declare("field", i, i, k - 1, None)
+        return k
+    if language in ("scala", "swift") and t in ("val", "var", "let") and name_at(i + 1):
+        finish = line_end(i)
+        fixed = "constant" if language == "scala" and t == "val" else "variable"
+        declare("field" if here == "class" else fixed, i + 1, start, finish, None)
+        return i + 2
+    if language == "php" and t == "$" and here == "class" and start < i and _NAME.match(txt(i + 1)) and txt(i + 2) in ("=", ";", ",") and "(" not in [txt(k) for k in range(start, i)]:
+        declare("field", i + 1, start, line_end(i), None)
+        return line_end(i) + 1
+    if language == "php" and t == "const" and _NAME.match(txt(i + 1)):
+        at = i + 1 if txt(i + 2) == "=" else i + 2
+        declare("constant", at, start, line_end(i), None)
+        return line_end(i) + 1
+    if language in ("php", "swift") and t == "case" and here == "class":
+        k, end = i + 1, line_end(i)
+        while k <= end:
+            if _NAME.match(txt(k)) and txt(k - 1) in ("case", ","):
+                out.define("enum_member", txt(k), place(k), stop(k), scope)
+            k = pair.get(k, k) + 1 if txt(k) in ("(", "[", "{") else k + 1
+        return end + 1
+    if language == "csharp" and here == "class" and name_at(i) and start < i and (txt(i + 1) == "{" or txt(i + 1) == "=>") and not {"class", "struct", "enum", "interface", "record", "(", "=", "namespace"} & {txt(k) for k in range(start, i)}:
+        finish = pair.get(i + 1, line_end(i)) if txt(i + 1) == "{" else line_end(i)
+        declare("property", i, start, finish, None)
+        return finish + 1 if txt(i + 1) == "{" else i + 1
+    if language in ("c", "cpp") and t == "typedef" and start == i:
+        finish = line_end(i)
+        at = finish - 1 if txt(finish) == ";" else finish
+        if _NAME.match(txt(at)) and txt(at - 1) not in ("typedef", "\n"):
+            declare("type_alias", at, start, finish, None)
+    return 0
+
+
+def _parameters(opening: int, start: int, txt: Callable[[int], str], pair: dict[int, int], name_at: Callable, declare: Callable) -> None:
+    """The parameters of a Scala class, which are its fields."""
+    k = next((k for k in range(start, opening) if txt(k) == "("), opening)
+    end = pair.get(k, k)
+    while k < end:
+        k += 1
+        if name_at(k) and txt(k + 1) == ":" and txt(k - 1) in ("(", ",", "val", "var", "\n"):
+            begin = k
+            while k < end and txt(k) != ",":
+                k = pair.get(k, k) + 1 if txt(k) in ("(", "[", "{") else k + 1
+            declare("field", begin, begin, k - 1, None)
+
+
 def _arrow_after(k: int, txt: Callable[[int], str], n: int, pair: dict[int, int]) -> bool:
     """Whether ``=>`` follows a parameter list, a return type between."""
     if txt(k) == ":":
@@ -381,7 +508,7 @@ def _generic_call(k: int, txt: Callable[[int], str], n: int) -> bool:
 
 
 def _exported(language: str, name: str, head: list[str], scope: list[Scope]) -> bool:
-    if language in ("javascript", "typescript", "jsx", "tsx"):
+    if language in _JS:
         return "export" in head
     if language == "go":
         return name[:1].isupper()
@@ -412,15 +539,47 @@ def _ruby_ends(tokens: list[Token]) -> dict[int, int]:
     return found
 
 
+#: How the languages write bases after a class's name: words or signs that begin a list of bases, and the relation.
+_BASE_WORDS = {"extends": "extends", "<": "extends", ":": "extends", "with": "extends", "implements": "implements"}
+_MODIFIERS = frozenset("public private protected virtual".split())
+
+
 def _bases(out: Extraction, tokens: list[Token], key: str, k: int, end: int, txt: Callable[[int], str], language: str) -> None:
-    """Bare base names between a class's name and its body."""
-    relation = "extends"
-    while k < end and txt(k) not in ("{", "\n", ""):
+    """Bare base names between a class's name and its body; qualified and generic ones are left out."""
+    relation, expected, depth = None, False, 0
+    while k < end and txt(k) != "":
         x = txt(k)
-        if x in ("extends", "<", ":", "implements", "with"):
-            relation = "implements" if x == "implements" else "extends"
-        elif _NAME.match(x) and txt(k - 1) in ("extends", "<", ":", "implements", ",", "with", "public") and txt(k + 1) not in (".", "::", "<", "("):
-            out.heritage.append({"source_key": key, "target_name": x, "relation": relation})
+        if x in ("(", "["):
+            depth += 1
+        elif x in (")", "]"):
+            depth -= 1
+        elif depth or x == "\n" and language != "ruby":
+            pass
+        elif x in ("{", "\n"):
+            return
+        elif x in _BASE_WORDS and not (x == "<" and language != "ruby"):
+            relation, expected = _BASE_WORDS[x], True
+        elif x == "where":
+            return
+        elif x == "<":  # type parameters
+            close, level = k, 0
+            while close < end:
+                level += (txt(close) == "<") - (txt(close) == ">")
+                if not level:
+                    break
+                close += 1
+            k = close
+        elif x in (",", "+", "&"):
+            expected = relation is not None
+        elif expected and x in _MODIFIERS and language == "cpp":
+            pass
+        elif expected and _NAME.match(x):
+            call = txt(k + 1) == "(" and language in ("kotlin", "scala", "csharp")
+            if txt(k + 1) not in (".", "::", "<", "[", "\\") and (call or txt(k + 1) != "("):
+                out.heritage.append({"source_key": key, "target_name": x, "relation": relation})
+            expected = False
+        else:
+            expected = expected and x == "\\" and language == "php"
         k += 1
 
 
@@ -442,7 +601,7 @@ def _imports(out: Extraction, tokens: list[Token], i: int, language: str, txt: C
     """Reads an import statement at token i; the index after it, or 0."""
     t = txt(i)
     unquote = lambda s: s.strip("\"'`<>")
-    if language in ("javascript", "typescript", "jsx", "tsx"):
+    if language in _JS:
         if t == "import" and txt(i + 1) not in ("(", "."):
             end, names = i, []
             while txt(end + 1) and not (txt(end)[:1] in "\"'" and len(txt(end)) > 1):
@@ -476,12 +635,10 @@ def _imports(out: Extraction, tokens: list[Token], i: int, language: str, txt: C
             if txt(k)[:1] in "\"`" and len(txt(k)) > 1:
                 out.bind(txt(k - 1) if _NAME.match(txt(k - 1)) and txt(k - 1) != "import" else unquote(txt(k)).rsplit("/", 1)[-1], "*", unquote(txt(k)))
         return end + 1
-    if language in ("java", "kotlin", "scala") and t == "import" or language == "csharp" and t == "using" or language == "php" and t == "use":
+    if language in ("java", "kotlin", "scala") and t == "import" or language == "csharp" and t == "using" and txt(i + 1) != "(" or language == "php" and t == "use" and txt(i - 1) in ("\n", ";", "}", ""):
         end = line_end(i)
-        parts = [txt(k) for k in range(i + 1, end + 1) if txt(k) not in (";", "static")]
-        path = "".join(parts)
-        if path:
-            out.bind(path.rsplit(".", 1)[-1], path.rsplit(".", 1)[-1], path)
+        for local, imported, spec in _IMPORT_FORMS[language]([txt(k) for k in range(i + 1, end + 1) if txt(k) not in (";", "static", "\n")]):
+            out.bind(local, imported, spec)
         return end + 1
     if language == "rust" and t == "use" and txt(i - 1) in ("\n", ";", "}", "", "pub"):
         end = line_end(i)
@@ -507,6 +664,65 @@ def _imports(out: Extraction, tokens: list[Token], i: int, language: str, txt: C
     return 0
 
 
+def _dotted(parts: list[str]) -> Iterator[tuple[str, str, str]]:
+    path = "".join(parts)
+    if path:
+        yield path.rsplit(".", 1)[-1], path.rsplit(".", 1)[-1], path
+
+
+def _csharp_using(parts: list[str]) -> Iterator[tuple[str, str, str]]:
+    """``using A.B`` and ``using X = A.B``."""
+    alias, path = (parts[0], parts[2:]) if "=" in parts[1:2] else (None, parts)
+    for local, imported, spec in _dotted(path):
+        yield alias or local, imported, spec
+
+
+def _kotlin_import(parts: list[str]) -> Iterator[tuple[str, str, str]]:
+    """``import a.b.c``, ``import a.b.*`` and ``import a.b.c as d``."""
+    alias = parts[-1] if "as" in parts[-2:-1] else None
+    path = [x for x in (parts[:-2] if alias else parts)]
+    if path[-1:] == ["*"]:
+        yield "", "*", "".join(path[:-2])
+    elif path:
+        yield alias or path[-1], path[-1], "".join(path)
+
+
+def _scala_import(parts: list[str]) -> Iterator[tuple[str, str, str]]:
+    """``import a.b.c`` and ``import a.b.{c, d}``; renamed selectors are left out."""
+    if "{" not in parts:
+        yield from _dotted(parts)
+        return
+    at = parts.index("{")
+    prefix = "".join(parts[:at]).rstrip(".")
+    for one in "\0".join(parts[at + 1 : -1] if parts[-1] == "}" else parts[at + 1 :]).split("\0,\0"):
+        if _NAME.match(one) and one != "_":
+            yield one, one, f"{prefix}.{one}"
+
+
+def _php_use(parts: list[str]) -> Iterator[tuple[str, str, str]]:
+    """``use A\\B, C\\D as E`` and ``use A\\{B, C as D}``; function and const name nothing else."""
+    parts = parts[1:] if parts[:1] in (["function"], ["const"]) else parts
+    prefix = ""
+    if "{" in parts:
+        at = parts.index("{")
+        prefix = "".join(parts[:at]).rstrip("\\") + "\\"
+        parts = [x for x in parts[at + 1 :] if x != "}"]
+    clause: list[str] = []
+    for x in [*parts, ","]:
+        if x != ",":
+            clause.append(x)
+            continue
+        alias = clause[-1] if "as" in clause[-2:-1] else None
+        path = "".join(clause[:-2] if alias else clause)
+        if path:
+            name = path if prefix else path.rsplit("\\", 1)[-1]
+            yield alias or name, name, prefix + path
+        clause = []
+
+
+_IMPORT_FORMS: dict[str, Callable[[list[str]], Iterator[tuple[str, str, str]]]] = {"java": _dotted, "csharp": _csharp_using, "kotlin": _kotlin_import, "scala": _scala_import, "php": _php_use}
+
+
 def _use_tree(path: str) -> Iterator[tuple[str, str]]:
     m = re.match(r"(.*?)(?:::)?\{(.*)\}$", path)
     if m:

@@ -83,7 +83,7 @@ def trace(edges: DataFrame, nodes: DataFrame, start: str, goal: str, max_depth:
         return spark.createDataFrame([], schema)
     if start == goal:
         return spark.createDataFrame([(1, [(start, None, None)])], schema)
-    origin = spark.createDataFrame([(start,)], "id string")
+    origin = spark.range(1).select(F.lit(start).alias("id"))
     e = _usable(edges, kinds)
     seen, _, length = _walk(e, origin, max_depth, False, budget, goal)
     if length is None:
@@ -95,14 +95,14 @@ def trace(edges: DataFrame, nodes: DataFrame, start: str, goal: str, max_depth:
     # parallel edges meet only after the layers have filtered them
     layered = cut_lineage(between.groupBy("source", "target", "d").agg(F.min("edge_id").alias("edge_id"), F.min_by("kind", "edge_id").alias("kind")))
     # backwards from the goal: only edges on a shortest path stay
-    useful, at = [], spark.createDataFrame([(goal,)], "target string")
+    useful, at = [], spark.range(1).select(F.lit(goal).alias("target"))
     for level in range(length - 1, -1, -1):
         part = cut_lineage(layered.where(F.col("d") == level).join(at, "target", "left_semi"))
         useful.append(part)
         at = part.select(F.col("source").alias("target")).distinct()
     known = nodes.select("id").distinct()
     first = F.array(F.struct(F.lit(start).alias("node"), F.lit(None).cast("bigint").alias("edge_id"), F.lit(None).cast("string").alias("kind")))
-    paths = spark.createDataFrame([(start,)], "at string").withColumn("hops", first).withColumn("ids", F.array().cast("array<bigint>"))
+    paths = spark.range(1).select(F.lit(start).alias("at")).withColumn("hops", first).withColumn("ids", F.array().cast("array<bigint>"))
     for part in reversed(useful):
         grown = paths.join(part.withColumnRenamed("source", "at"), "at")
         hop = F.array(F.struct(F.col("target").alias("node"), "edge_id", "kind"))

@@ -128,7 +128,7 @@ def relations_total_dangling(spark, folder):
 
 def _impact(spark, folder, depth, kinds=None, budget=None):
     e = walked_edges(spark, folder)
-    origin = spark.createDataFrame([(_subject(spark, folder, e),)], "id string")
+    origin = spark.range(1).select(F.lit(_subject(spark, folder, e)).alias("id"))
     return traverse.impact(e, origin, depth, kinds, budget)[0]
 
 
@@ -236,6 +236,11 @@ def status_stale_runs(spark, folder):
     return ranking.stale_files(first, live)
 
 
+def status_stale_count(spark, folder):
+    """How many of the first files by path are stale, and whether there are more files."""
+    return ranking.stale_count(table(spark, folder, "files"), _live(spark, folder), model.STALENESS_CHECKS)
+
+
 def file_records(spark, folder):
     t = F.col("text")
     return table(spark, folder, "source_texts").where("text IS NOT NULL").select("path", F.octet_length(t).cast("long").alias("size"), F.sha2(t, 256).alias("content_hash"), F.size(F.split(t, "\n")).cast("long").alias("line_count"), F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("ext"))
@@ -358,4 +363,4 @@ def symbol_view(spark, folder):
     return nodes(spark, folder, wide).select("name", "qualified_name", "kind", "language", F.col("file_path").alias("path"), F.col("start_line").alias("line"), doc.alias("docstring"), text.clip(model.optional_text("signature"), model.SIGNATURE_CHARS).alias("signature"), model.flag("is_exported").alias("exported"), model.flag("is_abstract").alias("abstract"))
 
 
-QUERIES = (symbol_resolve, search_like, search_fts, search_ranked, search_filtered, search_total, relations_in, relations_out, callers, callees, node_neighbourhood, relations_total_dangling, impact_d1, impact_d3, impact_calls_only, impact_truncated, impact_rendered, trace_shortest, trace_self, files_all, files_subtree, files_subtree_largest, files_glob, status_counts, status_languages, status_stale, status_stale_runs, file_records, exclusion_filter, gitignore_match, declarations_per_file, span_per_file, explore_groups, explore_slices, source_slice, source_whole, clip_text, context_terms, context_terms_all, context_ranked, merge_hits, context_related, relation_view, hop_view, debounce_sessions, json_array_validate, symbol_view)
+QUERIES = (symbol_resolve, search_like, search_fts, search_ranked, search_filtered, search_total, relations_in, relations_out, callers, callees, node_neighbourhood, relations_total_dangling, impact_d1, impact_d3, impact_calls_only, impact_truncated, impact_rendered, trace_shortest, trace_self, files_all, files_subtree, files_subtree_largest, files_glob, status_counts, status_languages, status_stale, status_stale_runs, status_stale_count, file_records, exclusion_filter, gitignore_match, declarations_per_file, span_per_file, explore_groups, explore_slices, source_slice, source_whole, clip_text, context_terms, context_terms_all, context_ranked, merge_hits, context_related, relation_view, hop_view, debounce_sessions, json_array_validate, symbol_view)

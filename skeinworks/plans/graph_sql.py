@@ -166,6 +166,7 @@ SQL = {
     "status_languages": f"{WITH} SELECT language, CAST(count(*) AS BIGINT) AS file_count FROM f GROUP BY language",
     "status_stale": f"{WITH}, {LIVE} SELECT f.path FROM f LEFT JOIN live ON live.path = f.path WHERE live.path IS NULL OR live.modified_at > f.modified_at",
     "status_stale_runs": f"{WITH}, o AS (SELECT path, modified_at FROM files WHERE path IS NOT NULL AND indexed_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY indexed_at, modified_at) = 1), live AS (SELECT f.path, f.modified_at FROM f WHERE f.path IN (SELECT path FROM source_texts)) SELECT o.path FROM o LEFT JOIN live ON live.path = o.path WHERE live.path IS NULL OR live.modified_at > o.modified_at",
+    "status_stale_count": f"{WITH}, {LIVE}, c AS (SELECT * FROM f ORDER BY path LIMIT 2000) SELECT CAST(count(*) FILTER (live.path IS NULL OR live.modified_at > c.modified_at) AS BIGINT) AS stale_file_count, (SELECT count(*) FROM f) > 2000 AS truncated FROM c LEFT JOIN live ON live.path = c.path",
     "file_records": "SELECT path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS content_hash, CAST(len(string_split(text, chr(10))) AS BIGINT) AS line_count, regexp_extract(path, '(\\.[^./]*)$', 1) AS ext FROM source_texts WHERE text IS NOT NULL",
     "exclusion_filter": f"{WITH} SELECT path FROM f WHERE NOT list_has_any(string_split(path, '/'), [{', '.join(repr(x) for x in EXCLUDED)}])",
     "gitignore_match": f"{WITH} {_ignored()}",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..model import flag
 from ..operators import ranking, resolution
+from ..session import cut_lineage
 from .graph import edges, files, nodes
 from .tables import table
 
@@ -54,7 +55,7 @@ def stored_specifiers(spark, folder):
 
 
 def _resolved(spark, folder) -> tuple[DataFrame, DataFrame]:
-    imports = imports_of(spark, folder)
+    imports = cut_lineage(imports_of(spark, folder))  # read for its files, its names and its bindings
     return imports, resolution.resolved_imports(imports, files(spark, folder))
 
 
