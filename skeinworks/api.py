@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import model
-
 from .operators import compose, ranking, relations, resolution, traverse
 from .plans.build import Build
+from .session import cut_lineage
 from .sources import gitignore, snapshot, tree
 
 
@@ -55,14 +55,23 @@ def _view(row: dict) -> dict:
 class Graph:
     """The operations over one graph: ``nodes``, ``edges``, ``files`` and, for slices, ``source_texts (path, text)``."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, files: DataFrame, source_texts: DataFrame | None = None, live: DataFrame | None = None, **bounds: int) -> None:
+    def __init__(self, nodes: DataFrame, edges: DataFrame, files: DataFrame, source_texts: DataFrame | None = None, live: DataFrame | None = None, edges_by_target: DataFrame | None = None, **bounds: int) -> None:
         self.nodes, self.edges, self.files, self.texts, self.live = nodes, edges, files, source_texts, live
+        self.incoming = edges if edges_by_target is None else edges_by_target  # lookups from the target read this layout
         self.limit, self.max_limit = bounds.get("limit", model.LIMIT), bounds.get("max_limit", model.MAX_LIMIT)
         self.depth, self.max_depth = bounds.get("depth", model.DEPTH), bounds.get("max_depth", model.MAX_DEPTH)
         self.max_paths, self.budget = bounds.get("max_paths", model.MAX_PATHS), bounds.get("budget", model.NODE_BUDGET)
         if min(self.limit, self.max_limit, self.depth, self.max_depth, self.max_paths, self.budget) < 1:
             raise model.GraphError("INVALID_REQUEST", "bounds must be positive")
 
+    @classmethod
+    def of(cls, stored: snapshot.Snapshot, source_texts: DataFrame | None = None, live: DataFrame | None = None, **bounds: int) -> Graph:
+        """The operations over a stored graph."""
+        return cls(stored["nodes"], stored["edges"], stored["files"], source_texts, live, stored["edges_by_target"], **bounds)
+
+    def _edges(self, incoming: bool) -> DataFrame:
+        return self.incoming if incoming else self.edges
+
     def _limit(self, value: float | None) -> int:
         return model.clamp(value, self.limit, self.max_limit)
 
@@ -79,8 +88,11 @@ class Graph:
         return {"operation": "search", "nodes": [_view(r) for r in rows], "total": total, "truncated": total > len(rows)}
 
     def _relations(self, anchor: str, incoming: bool, kind: str | None, limit: int) -> list[dict]:
-        rows = relations.relations(self.edges, self.nodes, anchor, incoming, kind, limit)
-        full = self._rows(rows.select("far", F.col("kind").alias("via"), "line", "site_count"))
+        rows = relations.relations(self._edges(incoming), self.nodes, anchor, incoming, kind, limit)
+        return self._shown(self._rows(rows.select("far", F.col("kind").alias("via"), "line", "site_count")))
+
+    def _shown(self, full: list[dict]) -> list[dict]:
+        """Relations as callers see them; at most a request's limit of rows."""
         by = {r["id"]: r for r in self._rows(self.nodes.where(F.col("id").isin([r["far"] for r in full])))} if full else {}
         out = []
         for r in full:
@@ -106,7 +118,7 @@ class Graph:
         if s is None:
             return {"operation": operation, "relations": [], "total": 0, "truncated": False}
         found = self._relations(s["id"], incoming, "calls", n)
-        total = relations.grouped(self.edges, s["id"], incoming, "calls").count()
+        total = relations.grouped(self._edges(incoming), s["id"], incoming, "calls").count()
         return {"operation": operation, "subject": _view(s), "relations": found, "total": total, "truncated": total > len(found)}
 
     def callers(self, symbol: str, limit: float | None = None) -> dict:
@@ -119,8 +131,8 @@ class Graph:
         s = self._subject(model.required(symbol, "symbol"))
         if s is None:
             return {"operation": "impact", "entries": [], "total": 0, "truncated": False}
-        origin = self.nodes.sparkSession.createDataFrame([(s["id"],)], "id string")
-        hits, exhausted = traverse.impact(self.edges, origin, model.clamp(depth, self.depth, self.max_depth), None, self.budget)
+        origin = self.nodes.sparkSession.range(1).select(F.lit(s["id"]).alias("id"))
+        hits, exhausted = traverse.impact(self.incoming, origin, model.clamp(depth, self.depth, self.max_depth), None, self.budget)
         total = hits.count()
         best = hits.orderBy("distance", "id").limit(self._limit(limit)).join(self.nodes, "id").orderBy("distance", "id")
         rows = self._rows(best)
@@ -156,24 +168,38 @@ class Graph:
 
     def explore(self, query: str, limit: float | None = None, files: int = model.SOURCE_FILES) -> dict:
         ranked = self._ranked(model.required(query, "query"), self._limit(limit))
+        out = self._explored(ranked, files)
+        total = ranked.agg(F.count_distinct("file_path")).first()[0]
+        return {"operation": "explore", "files": out, "total": total, "truncated": total > len(out)}
+
+    def _explored(self, ranked: DataFrame, files: int) -> list[dict]:
+        """The files of ranked nodes with their slices."""
         grouped = compose.group_by_file(ranked, files)
         sliced = compose.source_slices(grouped, self.texts, model.SOURCE_LINES, model.SOURCE_CHARS) if self.texts is not None else grouped
         rows = self._rows(sliced.orderBy("file_rank"))
-        total = ranked.agg(F.count_distinct("file_path")).first()[0]
-        out = [{"path": r["file_path"], "symbols": r["symbols"].split(","), "truncated": bool(r.get("truncated"))} | ({"code": r["code"], "code_start_line": r["code_start_line"]} if r.get("code") is not None else {}) for r in rows]
-        return {"operation": "explore", "files": out, "total": total, "truncated": total > len(rows)}
+        return [{"path": r["file_path"], "symbols": r["symbols"].split(","), "truncated": bool(r.get("truncated"))} | ({"code": r["code"], "code_start_line": r["code_start_line"]} if r.get("code") is not None else {}) for r in rows]
 
     def context(self, task: str, limit: float | None = None) -> dict:
         spark = self.nodes.sparkSession
         tasks = spark.createDataFrame([(1, model.required(task, "task"))], "task_id int, task string")
         entries = compose.context_entries(self.nodes, tasks, model.CONTEXT_TERMS, self._limit(None), self._limit(limit))
-        rows = self._rows(entries.join(self.nodes, "id").orderBy(F.col("hits").desc(), "best", "id"))
-        related: dict[tuple, dict] = {}
-        for r in rows[: model.SOURCE_FILES]:
-            for incoming in (True, False):
-                for x in self._relations(r["id"], incoming, "calls", self.limit):
-                    related.setdefault((x["symbol"]["path"], x["symbol"]["line"], x["symbol"]["qualified_name"], x["via"]), x)
-        return {"operation": "context", "task": task, "entry_points": [_view(r) for r in rows], "related": list(related.values())[: self.limit]}
+        order = Window.partitionBy(F.lit(0)).orderBy(F.col("hits").desc(), "best", "id")  # at most a request's limit of rows
+        ranked = cut_lineage(entries.join(self.nodes, "id").withColumn("rank", F.row_number().over(order)))
+        near = compose.related(F.broadcast(ranked.where(F.col("rank") <= model.SOURCE_FILES).select("id", "rank")), self.edges, self.nodes, self.limit, self.limit)
+        related = self._shown(self._rows(near.select("seen", "far", F.col("kind").alias("via"), "line", "site_count").orderBy("seen")))
+        rows = self._rows(ranked.orderBy("rank"))
+        return {"operation": "context", "task": task, "entry_points": [_view(r) for r in rows], "related": related, "files": self._explored(ranked, model.SOURCE_FILES)}
+
+
+def status(spark: SparkSession, store: str, **given: Any) -> dict:
+    """The status of a stored graph; where there is none, only that nothing is indexed -- every other operation fails then."""
+    try:
+        stored = snapshot.read(spark, store)
+    except model.GraphError as e:
+        if e.code != "UNAVAILABLE":
+            raise
+        return {"operation": "status", "indexed": False}
+    return Graph.of(stored, **given).status()
 
 
 def index(spark: SparkSession, root: str, store: str, max_files: int | None = None, max_bytes: int | None = None) -> dict:
@@ -244,6 +270,8 @@ def render(answer: dict) -> str:
             out += [f["path"] + ": " + ", ".join(f["symbols"])] + ([f["code"]] if f.get("code") else [])
     elif op == "context":
         out = [answer["task"], *map(_line, answer["entry_points"])] + [f"  {r['via']} {_line(r['symbol'])}" for r in answer["related"]]
+        for f in answer["files"]:
+            out += [f["path"] + ": " + ", ".join(f["symbols"])] + ([f["code"]] if f.get("code") else [])
     elif op == "index":
         out = [f"{_plural(answer['files_indexed'], 'file')}, {_plural(answer['symbol_count'], 'symbol')}, {_plural(answer['edge_count'], 'edge')}, {answer['unresolved_count']} unresolved"]
     return "\n".join(out)

@@ -30,6 +30,4 @@ def string_array(column: Column) -> Column:
 
 def validated(df: DataFrame, required: list[str]) -> DataFrame:
     """The rows, failing loudly where a required column is NULL."""
-    for c in required:
-        df = df.withColumn(c, F.when(F.col(c).isNull(), F.raise_error(F.lit(f"MALFORMED_INDEX: {c} is missing"))).otherwise(F.col(c)))
-    return df
+    return df.withColumns({c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"MALFORMED_INDEX: {c} is missing"))).otherwise(F.col(c)) for c in required})

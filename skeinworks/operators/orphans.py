@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_batches
+
 #: Distinct (key, table, field, period) rows of a range, on average.
 RANGE_ROWS = 32_768
 #: A container of a bitmap spans so many codes; up to so many set codes stay an array.
@@ -121,7 +123,7 @@ def orphan_keys(refs: DataFrame, nodes: DataFrame, expected_rows: int) -> DataFr
     combined = refs.groupBy("key", "ref_table", "field", "period").agg(F.count("*").alias("n"), F.lit(False).alias("is_parent"))
     parents = nodes.where("id IS NOT NULL").select(F.col("id").alias("key")).distinct().selectExpr("key", "CAST(NULL AS STRING) AS ref_table", "CAST(NULL AS STRING) AS field", "CAST(NULL AS STRING) AS period", "0L AS n", "true AS is_parent")
     ranged = combined.unionByName(parents).withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)))
-    return ranged.groupBy("range").applyInArrow(_surviving, SCHEMA)
+    return bounded_batches(ranged).groupBy("range").applyInArrow(_surviving, SCHEMA)
 
 
 def dangling_references(edges: DataFrame, unresolved_refs: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:

@@ -50,8 +50,9 @@ BATCH_ROWS, BATCH_BYTES = 1000, 32 * 1024 * 1024
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """The same rows; texts reach Python in batches of bounded size.  Always the same values, so it does not matter which of
-    several plans was built last."""
+    """The same rows; they reach Python in batches of bounded size, on workers that have this package.  Always the same values,
+    so it does not matter which of several plans was built last."""
+    ship_package(df.sparkSession)
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -9,9 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..model import GraphError
+from ..sources import gitignore
+from ..sources.tree import EXCLUDED_FOLDERS
+
 EVENT_SCHEMA = "root string, path string, event_type string, ts timestamp"
 
 
+def in_scope(events: DataFrame, rules: list[gitignore.Rule], excluded: tuple[str, ...] = EXCLUDED_FOLDERS, path: str = "path") -> DataFrame:
+    """The events of paths that a walk would keep: every folder above is tested like in a walk."""
+    p = F.col(path)
+    return events.where(p.isNotNull() & ~gitignore.excluded_by_name(p, excluded) & ~gitignore.ignored(p, rules))
+
+
 def sessions(events: DataFrame, gap: str, root: str = "root", path: str = "path", ts: str = "ts") -> DataFrame:
     """Bursts of events of a root that are at most ``gap`` apart: start, end (last event plus gap), events, distinct paths.
 
@@ -43,17 +53,21 @@ class Health:
 
 
 def watch(events: DataFrame, gap: str, lateness: str, checkpoint: str, sync: Callable[[DataFrame], None], health: Health) -> StreamingQuery:
-    """Runs ``sync`` on each micro-batch of finished bursts.  Micro-batches are sequential, so no two syncs overlap; a failed
-    batch is counted, and its paths come again with the retry of the batch after a restart."""
+    """Runs ``sync`` on each micro-batch of finished bursts.  Micro-batches are sequential, so no two syncs overlap.
+
+    A failed batch is counted and stops the query, so that its offsets are not committed: its paths come again with the retry
+    of the batch after a restart.  Once degraded, no batch is taken any more, and none is lost.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
-        if health.degraded or df.isEmpty():
+        if health.degraded:
+            raise GraphError("UNAVAILABLE", f"the watch is degraded: {health.degraded}")
+        if df.isEmpty():
             return
         try:
             sync(df)
         except Exception as e:
-            if health.failed(str(e)):
-                return
+            health.failed(str(e))
             raise
         health.succeeded()
 
