@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import bounded_batches, cut_lineage, spread
 from . import tokens
+from .sources import small_table
 
 #: Rows of one rank group at most, on average.
 GROUP_ROWS = 50_000
@@ -46,9 +47,11 @@ class Histogram:
             del self.count[size]
             del self.sizes[bisect_left(self.sizes, size)]
 
-    def largest(self, room: int) -> int:
-        """The largest size left that fits, 0 if none."""
+    def largest(self, room: int, *used: int) -> int:
+        """The largest size left that fits beside one item of each of the used sizes, 0 if none."""
         i = bisect_right(self.sizes, room)
+        while i and self.count[self.sizes[i - 1]] <= used.count(self.sizes[i - 1]):
+            i -= 1
         return self.sizes[i - 1] if i else 0
 
     def smallest(self, n: int) -> list[int]:
@@ -77,7 +80,6 @@ def _reduce(h: Histogram, capacity: int, plan: list[tuple[int, dict[int, int]]])
             h.take(s, 1)  # the item itself is no choice beside it
             k = h.largest(r)
             low = h.smallest(3)
-            available = dict(h.count)
             h.count[s] = h.count.get(s, 0) + 1
             if h.count[s] == 1:
                 insort(h.sizes, s)
@@ -92,15 +94,10 @@ def _reduce(h: Histogram, capacity: int, plan: list[tuple[int, dict[int, int]]])
                 content[k] = content.get(k, 0) + 1
             elif len(low) < 3 or sum(low) > r:
                 # only pairs: is (k, b) at least as large in both members as any feasible pair?
-                rest = dict(available)
-                rest[k] -= 1
-                if not rest[k]:
-                    del rest[k]
-                fits = [x for x in h.sizes if x <= r - k and rest.get(x)]
-                b = fits[-1] if fits else 0
+                b = h.largest(r - k, s, k)
                 # the smaller member of any pair is at most half of the room
-                half = [x for x in h.sizes if 2 * x <= r and available.get(x)]
-                if b and half and b >= half[-1]:
+                half = h.largest(r // 2, s)
+                if b and half and b >= half:
                     content = {s: 1}
                     for x in (k, b):
                         content[x] = content.get(x, 0) + 1
@@ -178,6 +175,20 @@ def slots(plan: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int, i
     return rows
 
 
+def stretches(rows: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int, int, int]]]:
+    """``(size, step)`` and ``(size, stretch, first rank, last rank + 1, first container, items in each)``: the slots by stretches
+    of ``step`` ranks.  A size has about as many stretches as slots, so both a stretch's slots and a slot's stretches are few."""
+    by: dict[int, list[tuple]] = {}
+    for size, *slot in rows:
+        by.setdefault(size, []).append(tuple(slot))
+    steps, out = [], []
+    for size, mine in by.items():
+        step = -(-max(last for _, last, *_ in mine) // len(mine))
+        steps.append((size, step))
+        out += [(size, k, first, last, base, each) for first, last, base, each in mine for k in range(first // step, (last - 1) // step + 1)]
+    return steps, out
+
+
 def sized_items(documents: DataFrame, container_sizes: DataFrame, vocabulary: str) -> DataFrame:
     """``container, capacity_tokens, doc_id, piece, n_tokens``: every text, or its pieces, for each container."""
     texts = bounded_batches(spread(documents.where("text IS NOT NULL").select("doc_id", "text")))
@@ -206,25 +217,26 @@ def packed(documents: DataFrame, container_sizes: DataFrame, vocabulary: str = t
     counted = items.where("n_tokens > 0").groupBy("container", "capacity_tokens", "n_tokens", "salt").agg(F.count("*").alias("n"))
     # the histogram: one row per container and size, so never more rows than the capacities add up to
     histogram = counted.groupBy("container", "capacity_tokens", "n_tokens").agg(F.sum("n").alias("n")).collect()
-    rows = []
+    steps, rows = [], []
     by: dict[tuple[str, int], dict[int, int]] = {}
     for r in histogram:
         by.setdefault((r["container"], r["capacity_tokens"]), {})[r["n_tokens"]] = r["n"]
     for (container, capacity), counts in sorted(by.items()):
-        rows += [(container, *x) for x in slots(pack_histogram(counts, capacity))]
-    plan = spark.createDataFrame(rows, "container string, n_tokens long, first long, last long, base long, each long")
+        for all_, mine in zip((steps, rows), stretches(slots(pack_histogram(counts, capacity))), strict=True):
+            all_ += [(container, *x) for x in mine]
+    step = small_table(spark, steps, "container string, n_tokens long, step long")
+    plan = small_table(spark, rows, "container string, n_tokens long, stretch long, first long, last long, base long, each long")
     # rank of an item among those of its size: its rank in its salt group and what the groups before it hold
     size = ["container", "n_tokens"]
     offsets = counted.withColumn("before", F.sum("n").over(Window.partitionBy(*size).orderBy("salt")) - F.col("n")).select(*size, "salt", "before")
     inner = F.row_number().over(Window.partitionBy(*size, "salt").orderBy("doc_id", "piece")) - 1
-    ranked = items.withColumn("inner", inner).join(offsets, [*size, "salt"], "left").withColumn("rank", F.coalesce("before", F.lit(0)) + F.col("inner"))
-    # one row per size with its slots in order: the join is on the size alone, the slot is found by the rank; the planner
-    # knows the size of this side when it has been aggregated and chooses the join by it
-    listed = plan.groupBy(*size).agg(F.sort_array(F.collect_list(F.struct("first", "last", "base", "each"))).alias("slots"))
-    slot = F.element_at(F.filter("slots", lambda x: (x["first"] <= F.col("rank")) & (F.col("rank") < x["last"])), 1)
-    joined = ranked.join(listed, size, "left").withColumn("s", F.when(F.col("n_tokens") > 0, slot))
-    number = F.coalesce(F.col("s.base") + F.floor((F.col("rank") - F.col("s.first")) / F.col("s.each")) + 1, F.lit(0))
-    return joined.select("container", number.cast("long").alias("container_no"), "doc_id", "piece", "n_tokens")
+    ranked = items.where("n_tokens > 0").withColumn("inner", inner).join(offsets, [*size, "salt"]).withColumn("rank", F.col("before") + F.col("inner"))
+    # a rank finds the few slots of its stretch by a join on (size, stretch), and one of them holds it
+    found = ranked.join(step, size).withColumn("stretch", F.floor(F.col("rank") / F.col("step"))).join(plan, [*size, "stretch"]).where("first <= rank AND rank < last")
+    number = F.col("base") + F.floor((F.col("rank") - F.col("first")) / F.col("each")) + 1
+    placed = found.select("container", number.cast("long").alias("container_no"), "doc_id", "piece", "n_tokens")
+    empty = items.where("n_tokens = 0").select("container", F.lit(0).cast("long").alias("container_no"), "doc_id", "piece", "n_tokens")
+    return placed.unionByName(empty)
 
 
 def container_report(documents: DataFrame, container_sizes: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
