@@ -15,7 +15,7 @@ import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -789,13 +789,24 @@ def python_any(text: str) -> Extraction:
 EXTRACTORS: dict[str, Callable[[str], Extraction]] = {"python": python_any} | {x: (lambda text, x=x: token_walk(text, x)) for x in set(EXTENSIONS.values()) if x != "python"}
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
+
+def _arrow(fields: str) -> pa.DataType:
+    return pa.list_(pa.struct([(name, _ARROW[kind]) for name, kind in (f.split() for f in fields.split(", "))]))
+
+
+_PARTS = {"definitions": _arrow(DEFINITION), "calls": _arrow(CALL), "imports": _arrow(IMPORT), "heritage": _arrow(HERITAGE)}
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for path, language, text in zip(b["path"], b["language"], b["text"], strict=True):
-            found = EXTRACTORS[language](text) if text and language in EXTRACTORS else Extraction()
-            rows.append((path, language, found.definitions, found.calls, found.imports, found.heritage))
-        yield pd.DataFrame(rows, columns=["path", "language", "definitions", "calls", "imports", "heritage"])
+        found = []
+        for language, text in zip(b.column("language").to_pylist(), b.column("text"), strict=True):
+            text = text.as_py()
+            found.append(EXTRACTORS[language](text) if text and language in EXTRACTORS else Extraction())
+        parts = [pa.array([getattr(e, name) for e in found], kind) for name, kind in _PARTS.items()]
+        yield pa.RecordBatch.from_arrays([b.column("path"), b.column("language"), *parts], names=["path", "language", *_PARTS])
 
 
 def language_of(path: Column) -> Column:
@@ -807,7 +818,7 @@ def language_of(path: Column) -> Column:
 def extracted(source_texts: DataFrame) -> DataFrame:
     """``path, language, definitions, calls, imports, heritage`` of every file of a known language; empty arrays for empty texts."""
     known = source_texts.where("path IS NOT NULL").select("path", language_of(F.col("path")).alias("language"), "text").where("language IS NOT NULL")
-    return bounded_batches(spread(known)).mapInPandas(_extract, SCHEMA)
+    return bounded_batches(spread(known)).mapInArrow(_extract, SCHEMA)
 
 
 def exploded(extraction: DataFrame, what: str) -> DataFrame:

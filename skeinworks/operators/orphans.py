@@ -12,7 +12,8 @@ field, period) on the map side, so a key with a third of all rows is one row
 per task.  The rows behind an orphan are found by an ordinary join.  What it
 finds is dealt out by row before it is aggregated: without an exchange of its own
 the aggregate would hold each key's rows together, and the adaptive planner could
-not split the join where a key is hot.
+not split the join where a key is hot.  Nor could it behind an aggregate of the
+orphan keys, so these reach the join as they come.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_batches
+from ..session import bounded_batches, cut_lineage, measured_side
 
 #: Distinct (key, table, field, period) rows of a range, on average.
 RANGE_ROWS = 32_768
@@ -132,7 +133,7 @@ def dangling_references(edges: DataFrame, unresolved_refs: DataFrame, nodes: Dat
     A row repeated with another ``recorded_at`` keeps its earliest period.
     """
     refs = references(edges, unresolved_refs, files)
-    keys = orphan_keys(refs, nodes, 2 * edges.count() + unresolved_refs.count() + nodes.count()).select("key").distinct()
+    keys = orphan_keys(refs, nodes, 2 * edges.count() + unresolved_refs.count() + nodes.count()).select("key")  # a semi-join needs no distinct keys
     found = refs.join(keys, "key", "left_semi").repartition("row_id", "field")
     return found.groupBy("ref_table", "row_id", "field", "key").agg(F.min("period").alias("period"))
 
@@ -162,7 +163,8 @@ def dangling_periods(edges: DataFrame, unresolved_refs: DataFrame, nodes: DataFr
     are compared exactly, as a node and a reference may share their month.
     """
     missing = dangling_report(edges, unresolved_refs, nodes, files).select("ref_table", "period", F.col("n_references").alias("n_missing"), F.col("n_keys").alias("n_missing_keys"), F.lit(0).cast("long").alias("n_later"), F.lit(0).cast("long").alias("n_later_keys"))
-    refs = references(edges, unresolved_refs, files).join(late_nodes(nodes, files), "key").where("at IS NULL OR at < since").repartition("row_id", "field")
+    late_keys = measured_side(cut_lineage(late_nodes(nodes, files)))
+    refs = references(edges, unresolved_refs, files).join(late_keys, "key").where("at IS NULL OR at < since").repartition("row_id", "field")
     later = refs.groupBy("ref_table", "period", "key").agg(F.count("*").alias("n")).groupBy("ref_table", "period").agg(F.sum("n").alias("n_later"), F.count("*").alias("n_later_keys"))
     both = missing.unionByName(later.withColumns({"n_missing": F.lit(0).cast("long"), "n_missing_keys": F.lit(0).cast("long")}))
     return both.groupBy("ref_table", "period").agg(*[F.sum(x).alias(x) for x in ("n_missing", "n_missing_keys", "n_later", "n_later_keys")])

@@ -12,10 +12,13 @@ from .tables import table
 
 
 class Build:
-    """One extraction of a workspace and everything resolved from it; the extraction is computed once."""
+    """One extraction of a workspace and everything resolved from it; what of it is wanted is computed and written once."""
 
-    def __init__(self, source_texts: DataFrame) -> None:
-        self.extraction = cut_lineage(extract.extracted(source_texts))
+    def __init__(self, source_texts: DataFrame, *parts: str) -> None:
+        wanted = parts or ("definitions", "calls", "imports", "heritage")
+        found = extract.extracted(source_texts)
+        nothing = [F.lit(None).cast(found.schema[x].dataType).alias(x) for x in ("definitions", "calls", "imports", "heritage") if x not in wanted]
+        self.extraction = cut_lineage(found.select("path", "language", *wanted)).select("*", *nothing)
         texts = source_texts.select("path", F.size(F.split("text", "\n")).alias("line_count"))
         self.files = self.extraction.select("path", "language").join(texts, "path", "left")
         self.definitions = extract.exploded(self.extraction, "definitions")
@@ -40,8 +43,8 @@ class Build:
         return resolution.unresolved_calls(self.resolved_calls)
 
 
-def _build(spark, folder) -> Build:
-    return Build(table(spark, folder, "source_texts"))
+def _build(spark, folder, *parts: str) -> Build:
+    return Build(table(spark, folder, "source_texts"), *parts)
 
 
 def extract_definitions(spark, folder):
@@ -58,33 +61,33 @@ def extract_imports(spark, folder):
 
 
 def specifier_candidates(spark, folder):
-    b = _build(spark, folder)
+    b = _build(spark, folder, "imports")
     return resolution.specifier_candidates(b.imports, b.files)
 
 
 def contains_edges(spark, folder):
-    return resolution.contains_edges(_build(spark, folder).definitions)
+    return resolution.contains_edges(_build(spark, folder, "definitions").definitions)
 
 
 def imports_edges(spark, folder):
-    return resolution.imports_edges(_build(spark, folder).resolved)
+    return resolution.imports_edges(_build(spark, folder, "imports").resolved)
 
 
 def call_edges(spark, folder):
-    return resolution.call_edges(_build(spark, folder).resolved_calls)
+    return resolution.call_edges(_build(spark, folder, "definitions", "calls", "imports").resolved_calls)
 
 
 def unresolved_calls(spark, folder):
-    return _build(spark, folder).unresolved()
+    return _build(spark, folder, "definitions", "calls", "imports").unresolved()
 
 
 def heritage_edges(spark, folder):
-    b = _build(spark, folder)
+    b = _build(spark, folder, "definitions", "imports", "heritage")
     return resolution.heritage_edges(b.heritage, b.declarations, b.resolved)
 
 
 def build_nodes(spark, folder):
-    return _build(spark, folder).nodes()
+    return _build(spark, folder, "definitions").nodes()
 
 
 def build_edges(spark, folder):

@@ -73,3 +73,21 @@ def test_many_ranges_give_the_same_orphans(make, monkeypatch):
     edges = make("edges", [edge(i, f"n{i}", f"n{(i * 7) % 90}") for i in range(90)])
     got = {(r["row_id"], r["field"]) for r in orphans.dangling_references(edges, make("refs", []), nodes, make("files", [])).collect()}
     assert got == {(i, "source") for i in range(90) if i % 2} | {(i, "target") for i in range(90) if (i * 7) % 90 % 2}
+
+
+def test_a_hot_orphan_key_is_split_over_tasks(spark, make):
+    rows = spark.range(60_000).selectExpr("id", "CASE WHEN id % 10 < 9 THEN 'gone' ELSE concat('n', id) END AS source", "concat('n', id) AS target", "'calls' AS kind", "CAST(NULL AS STRING) AS metadata", "CAST(NULL AS INT) AS line", "CAST(NULL AS INT) AS col", "'x' AS provenance", "CAST(NULL AS TIMESTAMP) AS recorded_at")
+    nodes = make("nodes", [node("n")]).selectExpr("explode(sequence(0, 59999)) AS k", "*").selectExpr("concat('n', k) AS id", "updated_at", "file_path")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "40KB", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = orphans.dangling_references(rows.repartition(16), make("refs", []), nodes, make("files", []))
+        spread = found.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert sum(r["count"] for r in spread) == 54_000 and max(r["count"] for r in spread) < 2 * 54_000 / 16
