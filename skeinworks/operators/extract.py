@@ -136,7 +136,7 @@ _CONTINUES = frozenset("{ ( , : = . with extends implements where -> & |".split(
 _JS = frozenset(["javascript", "typescript", "jsx", "tsx"])
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     text: str
     line: int
@@ -175,6 +175,28 @@ def _match(tokens: list[Token]) -> dict[int, int]:
     return found
 
 
+_METHOD_HEAD = frozenset("async static get set public private protected readonly override * abstract".split())
+_FIELD_HEAD = frozenset("static public private protected readonly declare abstract".split())
+_TOLD = _METHOD_HEAD | _FIELD_HEAD | frozenset("= ( ) , . return new pub crate class struct enum interface record namespace".split())
+
+
+def _statements(texts: list[str]) -> tuple[list[int], list[frozenset[str]]]:
+    """For each token, where its statement begins, and the words before it in the statement; those that no rule asks for are
+    told as one.  One pass, however long a statement is."""
+    begins, heads, begin, head = [], [], 0, frozenset()
+    nothing = head
+    for k, x in enumerate(texts):
+        begins.append(begin)
+        heads.append(head)
+        if x in ("\n", ";", "{", "}"):
+            begin, head = k + 1, nothing
+        else:
+            word = x if x in _TOLD else "other"
+            if word not in head:
+                head = head | {word}
+    return begins, heads
+
+
 _NAME = re.compile(r"[^\W\d][\w$]*[?!]?$|\$[\w$]+$")
 
 
@@ -188,21 +210,19 @@ def token_walk(text: str, language: str) -> Extraction:  # noqa: C901, PLR0912,
     ruby, js, open_ended = language == "ruby", language in _JS, language in ("kotlin", "scala", "swift")
     scope: list[Scope] = []
     until: list[int] = []  # token index at which each scope ends
+    chain: dict[int, int] = {}  # name of a call -> where its chain of members begins
     ends = _ruby_ends(tokens) if ruby else {}
     n, i = len(tokens), 0
 
+    texts = [x.text for x in tokens]
+    begins, heads = _statements(texts)
+
     def txt(k: int) -> str:
-        return tokens[k].text if 0 <= k < n else ""
+        return texts[k] if 0 <= k < n else ""
 
     def name_at(k: int) -> bool:
         return bool(_NAME.match(txt(k))) and (txt(k) not in words or js and txt(k) in ("get", "set", "of", "from", "type", "static", "async", "as"))
 
-    def statement_start(k: int) -> int:
-        """First token of the statement that token k stands in."""
-        while k > 0 and txt(k - 1) not in ("\n", ";", "{", "}"):
-            k -= 1
-        return k
-
     def body(k: int) -> int:
         """The opening brace of a declaration's body after token k, -1 if a terminator comes first."""
         while k < n and txt(k) not in ("{", ";"):
@@ -232,8 +252,8 @@ def token_walk(text: str, language: str) -> Extraction:  # noqa: C901, PLR0912,
     def declare(kind: str, at: int, start: int, finish: int, sort: str | None) -> str:
         head = [txt(k) for k in range(start, at)]
         flags = {"is_async": "async" in head or js and "async" in [txt(at + 2)], "is_static": "static" in head, "is_exported": _exported(language, txt(at), head, scope)}
-        while language in ("java", "csharp", "kotlin", "scala") and txt(start - 1) == "\n" and txt(statement_start(start - 1)) == "@":
-            start = statement_start(start - 1)  # annotations on lines of their own
+        while language in ("java", "csharp", "kotlin", "scala") and txt(start - 1) == "\n" and txt(begins[start - 1]) == "@":
+            start = begins[start - 1]  # annotations on lines of their own
         name = "~" + txt(at) if language == "cpp" and txt(at - 1) == "~" else txt(at)
         key = out.define(kind, name, place(start), stop(finish), scope, **flags)
         if sort:
@@ -253,8 +273,8 @@ def token_walk(text: str, language: str) -> Extraction:  # noqa: C901, PLR0912,
         if step:
             i = step
             continue
-        start = statement_start(i)
-        step = _declared_value(language, i, start, here, txt, name_at, line_end, body, pair, declare, out, scope, tokens, place, stop)
+        start = begins[i]
+        step = _declared_value(language, i, start, here, txt, name_at, line_end, body, pair, declare, out, scope, heads[i], place, stop)
         if step:
             i = step
             continue
@@ -335,25 +355,24 @@ def token_walk(text: str, language: str) -> Extraction:  # noqa: C901, PLR0912,
         elif ruby and here == "module" and start == i and name_at(i) and txt(i + 1) == "=" and not scope:
             declare("variable", i, i, line_end(i), None)
         if name_at(i) and here == "class" and not ruby and (js or language in _TYPED or language in ("go", "rust")):
-            head = [txt(k) for k in range(start, i)]
-            after = txt(i + 1)
+            head, after = heads[i], txt(i + 1)
             if after == "(" and (language != "go") and language != "rust":
                 opening = body(pair.get(i + 1, i + 1))
-                if opening < 0 and language == "cpp" and (head or txt(i - 1) == "~" or t == scope[-1].name) and not {"=", "return", "new", ".", "(", ","} & set(head):
+                if opening < 0 and language == "cpp" and (head or txt(i - 1) == "~" or t == scope[-1].name) and not {"=", "return", "new", ".", "(", ","} & head:
                     declare("method", i, start, line_end(i), None)  # declared here, defined elsewhere
                     i = line_end(i) + 1
                     continue
-                if opening >= 0 and (js and all(h in ("async", "static", "get", "set", "public", "private", "protected", "readonly", "override", "*", "abstract") for h in head) or language in _TYPED and not {"=", "return", "new", "."} & set(head)):
+                if opening >= 0 and (js and head <= _METHOD_HEAD or language in _TYPED and not {"=", "return", "new", "."} & head):
                     begin = start
                     declare("method", i, begin, pair.get(opening, n - 1), "other")
                     i += 1
                     continue
-            elif js and all(h in ("static", "public", "private", "protected", "readonly", "declare", "abstract") for h in head) and after in ("=", ":", ";", "\n", "?", "!"):
+            elif js and head <= _FIELD_HEAD and after in ("=", ":", ";", "\n", "?", "!"):
                 finish = line_end(i)
                 declare("field", i, start, finish, None)
                 i = finish + 1
                 continue
-            elif language in _TYPED and head and not {"=", "(", "return", "."} & set(head) and after in ("=", ";", "[", ",") and txt(i - 1) not in (",",):
+            elif language in _TYPED and head and not {"=", "(", "return", "."} & head and after in ("=", ";", "[", ",") and txt(i - 1) not in (",",):
                 finish = line_end(i)
                 declare("field", i, start, finish, None)
                 i = finish + 1
@@ -363,20 +382,20 @@ def token_walk(text: str, language: str) -> Extraction:  # noqa: C901, PLR0912,
                 declare("field", i, i, finish, None)
                 i = finish + 1
                 continue
-            elif language == "rust" and after == ":" and scope[-1].key and set(head) <= {"pub", "crate", "(", ")"}:
+            elif language == "rust" and after == ":" and scope[-1].key and head <= {"pub", "crate", "(", ")"}:
                 k = i + 2
                 while k < until[-1] and txt(k) != ",":
                     k = pair.get(k, k) + 1 if txt(k) in ("(", "[", "{") else k + 1
                 declare("field", i, start, k - 1, None)
                 i = k + 1
                 continue
-        if language in ("c", "cpp") and here == "module" and name_at(i) and txt(i + 1) == "(" and start < i and not {"=", "return"} & {txt(k) for k in range(start, i)}:
+        if language in ("c", "cpp") and here == "module" and name_at(i) and txt(i + 1) == "(" and start < i and not {"=", "return"} & heads[i]:
             opening = body(pair.get(i + 1, i + 1))
             if opening >= 0:
                 declare("function", i, start, pair.get(opening, n - 1), "other")
                 i += 1
                 continue
-        if language in ("c", "cpp") and not scope and name_at(i) and start < i and txt(i + 1) in ("=", ";", "[") and txt(start) not in ("struct", "union", "enum", "typedef", "return") and "(" not in {txt(k) for k in range(start, i)}:
+        if language in ("c", "cpp") and not scope and name_at(i) and start < i and txt(i + 1) in ("=", ";", "[") and txt(start) not in ("struct", "union", "enum", "typedef", "return") and "(" not in heads[i]:
             finish = line_end(i)
             declare("variable", i, start, finish, None)
             i = finish + 1
@@ -385,10 +404,11 @@ def token_walk(text: str, language: str) -> Extraction:  # noqa: C901, PLR0912,
         if name_at(i) and t not in _NOT_CALLED and (txt(i + 1) == "(" or js and txt(i + 1) == "<" and _generic_call(i + 1, txt, n) or language == "rust" and txt(i + 1) == "!" and False):
             member = txt(i - 1) in _MEMBER
             first = i
-            while txt(first - 1) in _MEMBER and first >= 2:
+            while first not in chain and txt(first - 1) in _MEMBER and first >= 2:
                 first -= 2
                 while txt(first) in (")", "]") and first in pair:
                     first = pair[first] - 1
+            first = chain[i] = chain.get(first, first)
             if txt(i - 1) not in ("new", "~", "@") and language != "dart":
                 out.call(scope, t, place(max(first, 0)), member)
         i += 1
@@ -415,7 +435,7 @@ def _common_js(txt: Callable[[int], str], n: int, pair: dict[int, int]) -> set[s
     return found
 
 
-def _declared_value(language: str, i: int, start: int, here: str, txt: Callable, name_at: Callable, line_end: Callable, body: Callable, pair: dict[int, int], declare: Callable, out: Extraction, scope: list[Scope], tokens: list[Token], place: Callable, stop: Callable) -> int:
+def _declared_value(language: str, i: int, start: int, here: str, txt: Callable, name_at: Callable, line_end: Callable, body: Callable, pair: dict[int, int], declare: Callable, out: Extraction, scope: list[Scope], head: frozenset[str], place: Callable, stop: Callable) -> int:
     """Fields, constants, properties and values of the languages that borrow a lexer; the index after one, or 0."""
     t = txt(i)
     if here == "other":
@@ -428,10 +448,10 @@ def _declared_value(language: str, i: int, start: int, here: str, txt: Callable,
         if txt(k) == "=" and txt(value) in ("struct", "union", "enum"):
             opening = body(value)
             if opening >= 0:
-                kind, finish = "enum" if txt(value) == "enum" else "struct", pair.get(opening, len(tokens) - 1)
+                kind, finish = "enum" if txt(value) == "enum" else "struct", pair.get(opening, opening)
                 declare(kind, i + 1, start, finish, "class")
                 if kind == "enum":
-                    _enum_members(out, tokens, opening + 1, finish, pair, scope, txt, place, stop)
+                    _enum_members(out, [], opening + 1, finish, pair, scope, txt, place, stop)
                 return opening + 1
         if txt(value) == "@" and txt(value + 1) == "import" and txt(value + 3)[:1] == '"':
             out.bind(txt(i + 1), "*", txt(value + 3).strip('"'))
@@ -449,7 +469,7 @@ def _declared_value(language: str, i: int, start: int, here: str, txt: Callable,
         fixed = "constant" if language == "scala" and t == "val" else "variable"
         declare("field" if here == "class" else fixed, i + 1, start, finish, None)
         return i + 2
-    if language == "php" and t == "$" and here == "class" and start < i and _NAME.match(txt(i + 1)) and txt(i + 2) in ("=", ";", ",") and "(" not in [txt(k) for k in range(start, i)]:
+    if language == "php" and t == "$" and here == "class" and start < i and _NAME.match(txt(i + 1)) and txt(i + 2) in ("=", ";", ",") and "(" not in head:
         declare("field", i + 1, start, line_end(i), None)
         return line_end(i) + 1
     if language == "php" and t == "const" and _NAME.match(txt(i + 1)):
@@ -463,7 +483,7 @@ def _declared_value(language: str, i: int, start: int, here: str, txt: Callable,
                 out.define("enum_member", txt(k), place(k), stop(k), scope)
             k = pair.get(k, k) + 1 if txt(k) in ("(", "[", "{") else k + 1
         return end + 1
-    if language == "csharp" and here == "class" and name_at(i) and start < i and (txt(i + 1) == "{" or txt(i + 1) == "=>") and not {"class", "struct", "enum", "interface", "record", "(", "=", "namespace"} & {txt(k) for k in range(start, i)}:
+    if language == "csharp" and here == "class" and name_at(i) and start < i and (txt(i + 1) == "{" or txt(i + 1) == "=>") and not {"class", "struct", "enum", "interface", "record", "(", "=", "namespace"} & head:
         finish = pair.get(i + 1, line_end(i)) if txt(i + 1) == "{" else line_end(i)
         declare("property", i, start, finish, None)
         return finish + 1 if txt(i + 1) == "{" else i + 1

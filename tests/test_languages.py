@@ -39,3 +39,17 @@ def test_common_js_exports():
     source = "function go() {}\nfunction own() {}\nconst z = 1\nfunction whole() {}\nmodule.exports.go = go\nexports.z = z\nif (a) { exports.own = own }\nmodule.exports = whole\nmodule.exports = { own }\n"
     got = {d["name"]: d["is_exported"] for d in EXTRACTORS["javascript"](source).definitions}
     assert got == {"go": True, "own": False, "z": True, "whole": True}
+
+
+@pytest.mark.parametrize("piece, head, tail, language", [("f{i}, {i}, ", "const T = [", "]", "javascript"), ("a{i}, ", "class A {{ int[] x = f(", "0); }}", "java"), (".f(1)", "x", "", "typescript"), ("{i}: {i}, ", "x = {{", "}}", "python")])
+def test_costs_grow_with_the_length_of_a_statement(piece, head, tail, language):
+    import time
+
+    def seconds(n):
+        source = head.format() + "".join(piece.format(i=i) for i in range(n)) + tail.format()
+        begin = time.perf_counter()
+        EXTRACTORS[language](source)
+        return time.perf_counter() - begin
+
+    seconds(1000)
+    assert min(seconds(16_000) for _ in range(2)) < 12 * max(min(seconds(4_000) for _ in range(3)), 0.002)  # in proportion: 4 times
