@@ -623,9 +623,13 @@ def _imports(out: Extraction, tokens: list[Token], i: int, language: str, txt: C
     unquote = lambda s: s.strip("\"'`<>")
     if language in _JS:
         if t == "import" and txt(i + 1) not in ("(", "."):
-            end, names = i, []
-            while txt(end + 1) and not (txt(end)[:1] in "\"'" and len(txt(end)) > 1):
+            end, names = i + 1, []
+            while txt(end) and not (txt(end)[:1] in "\"'" and len(txt(end)) > 1):
+                if txt(end) == ";" or txt(end) == "\n" and txt(end - 1) not in ("import", "from", ",", "}", "{", "type") and "{" not in [txt(j) for j in range(i, end)]:
+                    return 0  # the statement ends without a module
                 end += 1
+            if not txt(end):
+                return 0
             spec, k = unquote(txt(end)), i + 1
             while k < end:
                 x = txt(k)
@@ -657,6 +661,8 @@ def _imports(out: Extraction, tokens: list[Token], i: int, language: str, txt: C
         return end + 1
     if language in ("java", "kotlin", "scala") and t == "import" or language == "csharp" and t == "using" and txt(i + 1) != "(" or language == "php" and t == "use" and txt(i - 1) in ("\n", ";", "}", ""):
         end = line_end(i)
+        if language == "java" and txt(end) != ";":
+            return 0
         for local, imported, spec in _IMPORT_FORMS[language]([txt(k) for k in range(i + 1, end + 1) if txt(k) not in (";", "static", "\n")]):
             out.bind(local, imported, spec)
         return end + 1
@@ -764,8 +770,25 @@ _PY_HEAD = re.compile(r"([ \t]*)(async\s+)?(def|class)\s+([^\W\d]\w*)")
 _PY_VALUE = re.compile(r"([ \t]*)([^\W\d]\w*)\s*(?::[^=]*)?=(?!=)")
 
 
+_PY_FROM = re.compile(r"from\s+(\.*[\w.]*)\s+import\s+(.+)")
+_PY_IMPORT = re.compile(r"import\s+(.+)")
+
+
+def _python_import(out: Extraction, line: str) -> bool:
+    """Binds what an import statement on one line says."""
+    line = line.strip()
+    origin, plain = _PY_FROM.match(line), _PY_IMPORT.match(line)
+    for part in re.split(r"\s*,\s*", re.sub(r"#.*|;.*", "", (origin[2] if origin else plain[1] if plain else "")).strip(" ()\\")):
+        named = re.fullmatch(r"([\w.]+|\*)(?:\s+as\s+(\w+))?", part)
+        if named and origin:
+            out.bind(named[2] or named[1], named[1], origin[1])
+        elif named:
+            out.bind(named[2] or named[1].split(".")[0], "*", named[1])
+    return bool(origin or plain)
+
+
 def python_lines(text: str) -> Extraction:
-    """Broken Python: definitions by their first line and indentation, calls by the place before a bracket."""
+    """Broken Python: definitions by their first line and indentation, imports by their line, calls by the place before a bracket."""
     out, scope = Extraction(), []
     lines = text.split("\n")
     inside: dict[int, bool] = {}  # lines that begin within a string token
@@ -790,6 +813,8 @@ def python_lines(text: str) -> Extraction:
             kind = "class" if m[3] == "class" else "method" if scope and scope[-1].sort == "class" else "function"
             key = out.define(kind, m[4], (number, width), (last, len(lines[last - 1])), scope, is_async=bool(m[2]))
             scope.append(Scope(key, m[4], "class" if kind == "class" else "other", width))
+        elif _python_import(out, line):
+            continue
         elif value and (not scope or scope[-1].sort == "class"):
             out.define("field" if scope else "variable", value[2], (number, width), (number, len(line)), scope)
         else:

@@ -99,6 +99,18 @@ def index_report(spark, folder):
     return resolution.index_report(b.files, b.declarations, b.edges(), b.unresolved())
 
 
+def declarations_found(spark, folder):
+    """The stored declarations that extraction finds in the text, at their place and under their name."""
+    b = _build(spark, folder, "definitions")
+    found = b.definitions.select(resolution.node_id(F.col("path"), F.col("key")).alias("id"), "name").distinct()
+    return nodes(spark, folder, ("kind", "name")).where("kind <> 'file'").join(found, ["id", "name"], "left_semi").select("id", "name")
+
+
+def imports_found(spark, folder):
+    """What each file imports, and from where."""
+    return _build(spark, folder, "imports").imports.select("path", "specifier", "imported_name").distinct()
+
+
 def unique_names(spark, folder):
     return resolution.unique_names(nodes(spark, folder, ("kind", "name")).where("kind <> 'file'"))
 
@@ -111,4 +123,4 @@ def stored_call_degree(spark, folder):
     return n.join(out, "id", "left").join(into, "id", "left").select("id", F.coalesce("calls_out", F.lit(0)).alias("calls_out"), F.coalesce("calls_in", F.lit(0)).alias("calls_in"))
 
 
-QUERIES = (extract_definitions, extract_calls, extract_imports, specifier_candidates, contains_edges, imports_edges, call_edges, unresolved_calls, heritage_edges, build_nodes, build_edges, index_report, unique_names, stored_call_degree)
+QUERIES = (extract_definitions, extract_calls, extract_imports, specifier_candidates, contains_edges, imports_edges, call_edges, unresolved_calls, heritage_edges, build_nodes, build_edges, index_report, declarations_found, imports_found, unique_names, stored_call_degree)

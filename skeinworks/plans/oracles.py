@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .build_sql import SQL as BUILD_SQL
 from .graph_sql import SQL
 from .stored_sql import SQL as STORED_SQL
 
@@ -50,4 +51,4 @@ FROM cases GROUP BY ref_table, period
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p3_found": P3_FOUND, "p3_report": P3_REPORT, "p3_periods": P3_PERIODS} | SQL | STORED_SQL
+    return {"p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p3_found": P3_FOUND, "p3_report": P3_REPORT, "p3_periods": P3_PERIODS} | SQL | BUILD_SQL | STORED_SQL
