@@ -3,8 +3,8 @@
 Re-Pair grammars (:mod:`.repair`) are inferred over the token sequence of each
 file, comments left out, and tell most cases:
 
-* *vendored*: at least half of the file's tokens lie in rules that occur in
-  other repositories too (:func:`.repair.passages`); edited copies are found as
+* *vendored*: at least half of the file's tokens, and 40 of them, lie in rules that
+  occur in other repositories too (:func:`.repair.passages`); edited copies are found as
   long as half of them stayed;
 * *data*: nearly all characters stand in literals, and the grammar of these
   literals is about as long as they are: near-incompressible;
@@ -47,8 +47,9 @@ NOTICE = r"\(c\) .{0,60}authors\b.*licen[cs]e|\bupstream: \S+@\S|\b(?:taken|copi
 NOT_BANNER = r"\b(?:keys|names|values|ids|files|tables|lines|data) (?:are|were) generated by the\b"
 
 #: Rounds of pairing that make the rules compared between repositories (about 38 tokens each), the least tokens of a rule that
-#: is evidence, and the share of a file's tokens that must lie in such rules.
-SHARED_ROUNDS, SHARED_TOKENS, SHARED_SHARE = 9, 16, 0.5
+#: is evidence, the share of a file's tokens that must lie in such rules, and their least number: a few lines, such as an error
+#: page saved as code, are alike by chance.
+SHARED_ROUNDS, SHARED_TOKENS, SHARED_SHARE, SHARED_LEAST = 9, 16, 0.5, 40
 #: Share of literals among the characters of literals and words, their least length, and the least length of the literals'
 #: grammar for each literal, from which a text is mere data.
 DATA_SHARE, DATA_CHARS, DATA_RATIO = 0.95, 400, 0.8
@@ -192,7 +193,7 @@ def classified(files: DataFrame, source_texts: DataFrame) -> DataFrame:
     literal_share = F.col("literal_chars") / F.greatest(F.lit(1), F.col("literal_chars") + F.col("word_chars"))
     long_lines = F.col("chars_a_line") >= MINIFIED_LINE
     signs = [
-        ("vendored", "grammar: rules of other repositories", F.coalesce("foreign", F.lit(0)) >= SHARED_SHARE * n),
+        ("vendored", "grammar: rules of other repositories", F.coalesce("foreign", F.lit(0)) >= F.greatest(SHARED_SHARE * n, F.lit(SHARED_LEAST))),
         ("data", "grammar: incompressible literals", (literal_share >= DATA_SHARE) & (F.col("literal_chars") >= DATA_CHARS) & (F.col("literal_symbols") >= DATA_RATIO * F.col("literals"))),
         ("minified", "grammar: few names, few lines", long_lines & (literal_share < DATA_SHARE) & (F.col("symbols") < MINIFIED_RATIO * n)),
         ("generated", "grammar: rule reuse", ~long_lines & (literal_share < DATA_SHARE) & (F.col("reused") >= GENERATED_SHARE * n)),
