@@ -9,7 +9,7 @@ from .. import model
 from ..functions import arrays, text
 from ..operators import compose, ranking, relations, resolution, traverse
 from ..session import cut_lineage, join_side, measured
-from ..sources import gitignore
+from ..sources import gitignore, tree
 from ..streaming import debounce
 from .tables import table
 
@@ -246,6 +246,19 @@ def file_records(spark, folder):
     return table(spark, folder, "source_texts").where("text IS NOT NULL").select("path", F.octet_length(t).cast("long").alias("size"), F.sha2(t, 256).alias("content_hash"), F.size(F.split(t, "\n")).cast("long").alias("line_count"), F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("ext"))
 
 
+def walk_kept(spark, folder):
+    """The files that a walk over the indexed paths would keep, with their languages."""
+    listed = table(spark, folder, "files").where("path IS NOT NULL").select("path").distinct()
+    kept, _ = tree.discover(listed, gitignore.parse(IGNORE_RULES))
+    return kept.select("path", "language")
+
+
+def path_parts(spark, folder):
+    """Names and folders of all paths, and the paths after a step into each folder and back."""
+    p = F.col("path")
+    return files(spark, folder).select("path", text.basename(p).alias("name"), text.dirname(p).alias("folder"), text.normalized(F.concat(text.dirname(p), F.lit("/./step/.././"), text.basename(p))).alias("again"))
+
+
 def exclusion_filter(spark, folder):
     return files(spark, folder).where(~gitignore.excluded_by_name(F.col("path"), EXCLUDED)).select("path")
 
@@ -363,4 +376,4 @@ def symbol_view(spark, folder):
     return nodes(spark, folder, wide).select("name", "qualified_name", "kind", "language", F.col("file_path").alias("path"), F.col("start_line").alias("line"), doc.alias("docstring"), text.clip(model.optional_text("signature"), model.SIGNATURE_CHARS).alias("signature"), model.flag("is_exported").alias("exported"), model.flag("is_abstract").alias("abstract"))
 
 
-QUERIES = (symbol_resolve, search_like, search_fts, search_ranked, search_filtered, search_total, relations_in, relations_out, callers, callees, node_neighbourhood, relations_total_dangling, impact_d1, impact_d3, impact_calls_only, impact_truncated, impact_rendered, trace_shortest, trace_self, files_all, files_subtree, files_subtree_largest, files_glob, status_counts, status_languages, status_stale, status_stale_runs, status_stale_count, file_records, exclusion_filter, gitignore_match, declarations_per_file, span_per_file, explore_groups, explore_slices, source_slice, source_whole, clip_text, context_terms, context_terms_all, context_ranked, merge_hits, context_related, relation_view, hop_view, debounce_sessions, json_array_validate, symbol_view)
+QUERIES = (symbol_resolve, search_like, search_fts, search_ranked, search_filtered, search_total, relations_in, relations_out, callers, callees, node_neighbourhood, relations_total_dangling, impact_d1, impact_d3, impact_calls_only, impact_truncated, impact_rendered, trace_shortest, trace_self, files_all, files_subtree, files_subtree_largest, files_glob, status_counts, status_languages, status_stale, status_stale_runs, status_stale_count, file_records, walk_kept, path_parts, exclusion_filter, gitignore_match, declarations_per_file, span_per_file, explore_groups, explore_slices, source_slice, source_whole, clip_text, context_terms, context_terms_all, context_ranked, merge_hits, context_related, relation_view, hop_view, debounce_sessions, json_array_validate, symbol_view)

@@ -16,6 +16,9 @@ STRUCTURAL_KINDS = ["import", "export", "file", "module"]
 STOPWORDS = "a an and are as at be but by can do does for from how in into is it its not of on or that the their then there this to was what when where which why will with work works add fix bug code file files need make use used using".split()
 QUERY, PHRASE = "beacon", "keeps insertion or"
 EXCLUDED = ["vendor", "node_modules", "third_party", "dist"]
+EXCLUDED_FOLDERS = [".git", "node_modules", "dist", "build", "coverage", ".cache", "vendor", "target", "__pycache__"]
+EXTENSIONS = {"typescript": "ts mts cts", "tsx": "tsx", "javascript": "js mjs cjs", "jsx": "jsx", "python": "py pyi", "go": "go", "java": "java", "c": "c h", "cpp": "cpp cc cxx hpp hh hxx", "csharp": "cs", "php": "php", "rust": "rs", "ruby": "rb", "zig": "zig", "kotlin": "kt kts", "swift": "swift", "dart": "dart", "scala": "scala sc"}
+KNOWN = "known AS (SELECT * FROM (VALUES " + ", ".join(f"('.{x}', '{language}')" for language, all_ in EXTENSIONS.items() for x in all_.split()) + ") AS x(extension, language))"
 TASK = "Why does the beacon lose its harbor window when the ledger drains twice"
 
 
@@ -168,6 +171,8 @@ SQL = {
     "status_stale_runs": f"{WITH}, o AS (SELECT path, modified_at FROM files WHERE path IS NOT NULL AND indexed_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY indexed_at, modified_at) = 1), live AS (SELECT f.path, f.modified_at FROM f WHERE f.path IN (SELECT path FROM source_texts)) SELECT o.path FROM o LEFT JOIN live ON live.path = o.path WHERE live.path IS NULL OR live.modified_at > o.modified_at",
     "status_stale_count": f"{WITH}, {LIVE}, c AS (SELECT * FROM f ORDER BY path LIMIT 2000) SELECT CAST(count(*) FILTER (live.path IS NULL OR live.modified_at > c.modified_at) AS BIGINT) AS stale_file_count, (SELECT count(*) FROM f) > 2000 AS truncated FROM c LEFT JOIN live ON live.path = c.path",
     "file_records": "SELECT path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS content_hash, CAST(len(string_split(text, chr(10))) AS BIGINT) AS line_count, regexp_extract(path, '(\\.[^./]*)$', 1) AS ext FROM source_texts WHERE text IS NOT NULL",
+    "walk_kept": f"{WITH}, {KNOWN}, g AS ({_ignored()}) SELECT f.path, k.language FROM f JOIN known k ON k.extension = regexp_extract(f.path, '([.][^./]*)$', 1) JOIN g ON g.path = f.path WHERE NOT g.ignored AND NOT list_has_any(string_split(f.path, '/'), [{', '.join(repr(x) for x in EXCLUDED_FOLDERS)}])",
+    "path_parts": f"{WITH} SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, path AS again FROM f",
     "exclusion_filter": f"{WITH} SELECT path FROM f WHERE NOT list_has_any(string_split(path, '/'), [{', '.join(repr(x) for x in EXCLUDED)}])",
     "gitignore_match": f"{WITH} {_ignored()}",
     "declarations_per_file": f"{WITH} SELECT f.path, CAST(count(n.id) AS BIGINT) AS node_count FROM f LEFT JOIN n ON n.file_path = f.path AND n.kind <> 'file' GROUP BY f.path",
