@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,9 +12,22 @@ from pyspark.sql import functions as F
 STOPWORDS = "a an and are as at be but by can do does for from how in into is it its not of on or that the their then there this to was what when where which why will with work works add fix bug code file files need make use used using".split()
 
 
+def _folded() -> tuple[str, str]:
+    """The Latin small letters with marks, and the letters without them."""
+    marked, plain = "", ""
+    for code in (*range(0xE0, 0x250), *range(0x1E00, 0x1F00)):
+        base = unicodedata.normalize("NFD", chr(code))[0]
+        if base != chr(code) and base.isascii() and base.islower():
+            marked, plain = marked + chr(code), plain + base
+    return marked, plain
+
+
+FOLDED = _folded()
+
+
 def norm(column: Column) -> Column:
-    """Tokens (letters and digits, case- and accent-folded) with single spaces before, between and after."""
-    plain = F.translate(F.lower(column), "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy")
+    """Tokens (letters and digits, case-folded, Latin letters without their marks) with single spaces before, between and after."""
+    plain = F.translate(F.lower(column), *FOLDED)
     return F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " "), F.lit(" "))
 
 

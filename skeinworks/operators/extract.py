@@ -3,8 +3,8 @@
 One row per file goes in, one row with four arrays of structs comes out; Spark
 spreads the files, the per-file code below is a small table-driven walk.  Python
 is read with the interpreter's own parser where it parses; everything else, and
-broken Python, by a scope-tracking walk over lexer tokens.  ``EXTRACTORS`` is the
-extension point: a language's entry may be replaced by any callable.
+broken Python, by a scope-tracking walk over lexer tokens.  The extension point is
+:func:`extracted`: any callable may serve a language, a new one or one of these.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -466,7 +467,7 @@ def _declared_value(language: str, i: int, start: int, here: str, txt: Callable,
         return k
     if language in ("scala", "swift") and t in ("val", "var", "let") and name_at(i + 1):
         finish = line_end(i)
-        fixed = "constant" if language == "scala" and t == "val" else "variable"
+        fixed = "variable" if t == "var" else "constant"
         declare("field" if here == "class" else fixed, i + 1, start, finish, None)
         return i + 2
     if language == "php" and t == "$" and here == "class" and start < i and _NAME.match(txt(i + 1)) and txt(i + 2) in ("=", ";", ",") and "(" not in head:
@@ -844,26 +845,31 @@ def _arrow(fields: str) -> pa.DataType:
 _PARTS = {"definitions": _arrow(DEFINITION), "calls": _arrow(CALL), "imports": _arrow(IMPORT), "heritage": _arrow(HERITAGE)}
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], own: dict[str, Callable[[str], Extraction]]) -> Iterator[pa.RecordBatch]:
+    by = EXTRACTORS | own
     for b in batches:
         found = []
         for language, text in zip(b.column("language").to_pylist(), b.column("text"), strict=True):
             text = text.as_py()
-            found.append(EXTRACTORS[language](text) if text and language in EXTRACTORS else Extraction())
+            found.append(by[language](text) if text and language in by else Extraction())
         parts = [pa.array([getattr(e, name) for e in found], kind) for name, kind in _PARTS.items()]
         yield pa.RecordBatch.from_arrays([b.column("path"), b.column("language"), *parts], names=["path", "language", *_PARTS])
 
 
-def language_of(path: Column) -> Column:
-    """By the extension, case-sensitive; NULL for unknown ones."""
-    table = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])
+def language_of(path: Column, extensions: dict[str, str] | None = None) -> Column:
+    """By the extension, case-sensitive, also by a caller's own ones; NULL for unknown ones."""
+    table = F.create_map(*[F.lit(x) for kv in (EXTENSIONS | (extensions or {})).items() for x in kv])
     return F.try_element_at(table, F.regexp_extract(path, r"(\.[^./]*)$", 1))
 
 
-def extracted(source_texts: DataFrame) -> DataFrame:
-    """``path, language, definitions, calls, imports, heritage`` of every file of a known language; empty arrays for empty texts."""
-    known = source_texts.where("path IS NOT NULL").select("path", language_of(F.col("path")).alias("language"), "text").where("language IS NOT NULL")
-    return bounded_batches(spread(known)).mapInArrow(_extract, SCHEMA)
+def extracted(source_texts: DataFrame, extractors: dict[str, Callable[[str], Extraction]] | None = None, extensions: dict[str, str] | None = None) -> DataFrame:
+    """``path, language, definitions, calls, imports, heritage`` of every file of a known language; empty arrays for empty texts.
+
+    ``extractors`` (by language) and ``extensions`` (extension to language) are a caller's own; they go to the workers with the
+    plan and win over those of this module.
+    """
+    known = source_texts.where("path IS NOT NULL").select("path", language_of(F.col("path"), extensions).alias("language"), "text").where("language IS NOT NULL")
+    return bounded_batches(spread(known)).mapInArrow(partial(_extract, own=extractors or {}), SCHEMA)
 
 
 def exploded(extraction: DataFrame, what: str) -> DataFrame:

@@ -38,7 +38,7 @@ TIER = f"CASE WHEN name = '{QUERY}' THEN 0 WHEN lower(name) = '{QUERY}' THEN 1 W
 
 
 def _norm(x: str) -> str:
-    return f"(' ' || array_to_string(regexp_extract_all(translate(lower({x}), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ')"
+    return f"(' ' || array_to_string(regexp_extract_all(strip_accents(lower({x})), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ')"
 
 
 def _match(q: str, full_text: bool = True) -> str:

@@ -43,7 +43,9 @@ def discover(listed: DataFrame, rules: list[gitignore.Rule], excluded: tuple[str
     if max_files is None:
         return kept, listed.sparkSession.createDataFrame([(0,)], "overflow long")
     count = kept.agg(F.greatest(F.count("*") - max_files, F.lit(0)).alias("overflow"))
-    return kept.orderBy("path").limit(max_files), count
+    # paths are chosen before any content is read: a sort of whole files would move them all
+    chosen = kept.select("path").orderBy("path").limit(max_files)
+    return kept.join(chosen, "path", "left_semi"), count
 
 
 def file_text(content: Column) -> Column:

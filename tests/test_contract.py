@@ -9,8 +9,9 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from skeinworks import api
+from skeinworks.functions import text
 from skeinworks.model import GraphError
-from skeinworks.operators import compose
+from skeinworks.operators import compose, extract
 from skeinworks.plans import registry
 from skeinworks.sources import changes, gitignore, snapshot
 from skeinworks.streaming import debounce
@@ -132,5 +133,24 @@ def test_changes_of_a_tree(spark, tmp_path):
         q.stop()
 
 
+def test_own_extractors_reach_the_workers(spark, make):
+    def own_extractor(text):
+        e = extract.Extraction()
+        for number, line in enumerate(text.split("\n"), 1):
+            if line.startswith("rule "):
+                e.define("function", line[5:], (number, 0), (number, len(line)), [])
+        return e
+
+    texts = make("texts", [("a.rules", "rule one\nrule two\n"), ("b.py", "def f(): pass\n"), ("c.none", "x"), ("d.rules", None)])
+    found = extract.extracted(texts, {"rules": own_extractor, "python": lambda text: extract.Extraction()}, {".rules": "rules"})
+    got = {r["path"]: (r["language"], [d["name"] for d in r["definitions"]]) for r in found.collect()}
+    assert got == {"a.rules": ("rules", ["one", "two"]), "b.py": ("python", []), "d.rules": ("rules", [])}
+
+
+def test_marks_of_latin_letters_are_folded(spark):
+    df = spark.createDataFrame([("Łódź ŐŰ ệ ñ Ø",)], "t string")
+    assert df.select(text.norm(F.col("t"))).first()[0] == " łodz ou e n ø "
+
+
 def test_every_registered_core_query_has_a_builder():
     assert {"context_related", "merge_hits", "relation_view", "hop_view", "stored_imports_edges", "stored_heritage", "stored_report", "status_stale_count"} <= set(registry.queries())

@@ -10,7 +10,7 @@ CASES = {
     "csharp": ("using System.IO;\nusing X = A.B;\nnamespace N {\npublic class A : B, C {\n  private int x = 1;\n  public int P { get; set; }\n  public A() { Init(); }\n  public int Go(string y) { return this.Run(y); }\n}\n}\n", {("namespace", "N"), ("class", "A"), ("field", "x"), ("property", "P"), ("method", "A"), ("method", "Go")}, ["Init", "Run"], [("IO", "IO", "System.IO"), ("X", "B", "A.B")], [("B", "extends"), ("C", "extends")]),
     "php": ("<?php\nuse A\\B;\nuse A\\B as C, D;\nuse P\\{Q, R as S};\n# note f()\nclass K extends L implements M, O {\n  const X = 1;\n  private $y = 'call(';\n  public function go($z) { return $this->run($z); }\n}\nenum E { case One; case Two; }\nfunction free() { helper(); }\n", {("class", "K"), ("constant", "X"), ("field", "y"), ("method", "go"), ("enum", "E"), ("enum_member", "One"), ("enum_member", "Two"), ("function", "free")}, ["run", "helper"], [("B", "B", "A\\B"), ("C", "B", "A\\B"), ("D", "D", "D"), ("Q", "Q", "P\\Q"), ("S", "R", "P\\R")], [("L", "extends"), ("M", "implements"), ("O", "implements")]),
     "kotlin": ("import a.b.c as d\nimport a.b.*\nimport x.y.Z\nclass A(val x: Int) : B(), C {\n  fun go(y: String): Int { return run(y) }\n}\nenum class E { One, Two }\nclass D : F\ninterface I\nfun free() { helper() }\n", {("class", "A"), ("method", "go"), ("enum", "E"), ("enum_member", "One"), ("enum_member", "Two"), ("class", "D"), ("interface", "I"), ("function", "free")}, ["run", "helper"], [("d", "c", "a.b.c"), ("", "*", "a.b"), ("Z", "Z", "x.y.Z")], [("B", "extends"), ("C", "extends"), ("F", "extends")]),
-    "swift": ("import Foundation\nclass A: B, C {\n  var x = 1\n  func go(y: String) -> Int { return run(y) }\n}\nlet top = 2\nstruct S { }\nprotocol P { func f() }\nenum E { case one, two }\n", {("class", "A"), ("field", "x"), ("method", "go"), ("variable", "top"), ("struct", "S"), ("interface", "P"), ("method", "f"), ("enum", "E"), ("enum_member", "one"), ("enum_member", "two")}, ["run"], [("Foundation", "*", "Foundation")], [("B", "extends"), ("C", "extends")]),
+    "swift": ("import Foundation\nclass A: B, C {\n  var x = 1\n  func go(y: String) -> Int { return run(y) }\n}\nlet top = 2\nstruct S { }\nprotocol P { func f() }\nenum E { case one, two }\n", {("class", "A"), ("field", "x"), ("method", "go"), ("constant", "top"), ("struct", "S"), ("interface", "P"), ("method", "f"), ("enum", "E"), ("enum_member", "one"), ("enum_member", "two")}, ["run"], [("Foundation", "*", "Foundation")], [("B", "extends"), ("C", "extends")]),
     "dart": ("import 'package:a/b.dart';\nclass A extends B with C implements D {\n  int x = 1;\n  int go(String y) { return run(y); }\n}\nenum E { one, two }\n", {("class", "A"), ("field", "x"), ("method", "go"), ("enum", "E"), ("enum_member", "one"), ("enum_member", "two")}, [], [("package:a/b.dart", "*", "package:a/b.dart")], [("B", "extends"), ("C", "extends"), ("D", "implements")]),
     "scala": ("import a.b.{c, d => e}\nimport x.Y\nclass A(val p: Int, q: String) extends B with C {\n  val x = 1\n  def go(y: String): Int = { run(y) }\n}\nobject O { def main(): Unit = helper() }\ntrait T\n", {("class", "A"), ("field", "p"), ("field", "q"), ("field", "x"), ("method", "go"), ("class", "O"), ("method", "main"), ("trait", "T")}, ["run", "helper"], [("c", "c", "a.b.c"), ("Y", "Y", "x.Y")], [("B", "extends"), ("C", "extends")]),
     "zig": ('const std = @import("std");\npub const A = struct {\n    x: u32,\n    pub fn go(self: *A) u32 {\n        return helper(self.x);\n    }\n};\nconst E = enum { one, two };\nvar top: u32 = 1;\nfn free() void {}\n', {("constant", "std"), ("struct", "A"), ("field", "x"), ("method", "go"), ("enum", "E"), ("enum_member", "one"), ("enum_member", "two"), ("variable", "top"), ("function", "free")}, ["helper"], [("std", "*", "std")], []),
