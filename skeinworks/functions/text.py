@@ -27,14 +27,21 @@ FOLDED = _folded()
 
 def norm(column: Column) -> Column:
     """Tokens (letters and digits, case-folded, Latin letters without their marks) with single spaces before, between and after."""
-    plain = F.translate(F.lower(column), *FOLDED)
-    return F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(_plain(column), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " "), F.lit(" "))
+
+
+def _plain(column: Column) -> Column:
+    return F.translate(F.lower(column), *FOLDED)
 
 
 def phrase_prefix(column: Column, phrase: str) -> Column:
     """The phrase's tokens stand next to each other and in order in the column, the last one as a prefix."""
     wanted = F.rtrim(norm(F.lit(phrase)))
-    return (F.length(wanted) > 0) & F.contains(norm(column), wanted)
+    hit = F.length(wanted) > 0
+    # no pattern is tried where a part of the phrase is missing altogether
+    for part in set(re.findall("[a-z0-9]{3,}", phrase.lower())):
+        hit = hit & F.contains(_plain(column), F.lit(part))
+    return hit & F.contains(norm(column), wanted)
 
 
 def glob(pattern: str) -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_batches, cut_lineage, measured_side
+from ..session import bounded_batches, cut_measured
 
 #: Distinct (key, table, field, period) rows of a range, on average.
 RANGE_ROWS = 32_768
@@ -163,7 +163,7 @@ def dangling_periods(edges: DataFrame, unresolved_refs: DataFrame, nodes: DataFr
     are compared exactly, as a node and a reference may share their month.
     """
     missing = dangling_report(edges, unresolved_refs, nodes, files).select("ref_table", "period", F.col("n_references").alias("n_missing"), F.col("n_keys").alias("n_missing_keys"), F.lit(0).cast("long").alias("n_later"), F.lit(0).cast("long").alias("n_later_keys"))
-    late_keys = measured_side(cut_lineage(late_nodes(nodes, files)))
+    late_keys = cut_measured(late_nodes(nodes, files)).side()
     refs = references(edges, unresolved_refs, files).join(late_keys, "key").where("at IS NULL OR at < since").repartition("row_id", "field")
     later = refs.groupBy("ref_table", "period", "key").agg(F.count("*").alias("n")).groupBy("ref_table", "period").agg(F.sum("n").alias("n_later"), F.count("*").alias("n_later_keys"))
     both = missing.unionByName(later.withColumns({"n_missing": F.lit(0).cast("long"), "n_missing_keys": F.lit(0).cast("long")}))

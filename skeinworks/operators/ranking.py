@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..model import NODE_COLUMNS, kind_rank
-from ..session import cut_lineage, measured_side
+from ..session import cut_lineage, cut_measured
 
 
 EDGE_FIELDS = ("source", "target", "kind", "line", "col", "provenance")
@@ -30,14 +30,14 @@ def latest_where(table: DataFrame, key: str, at: str, columns: Iterable[str], wa
 
     The filter reaches the scan: it finds the keys of which any row is wanted, and only all rows of these keys are compared.
     """
-    keys = cut_lineage(table.where(wanted & F.col(key).isNotNull()).select(key).distinct())
-    return latest(table.join(measured_side(keys), key, "left_semi"), key, at, columns).where(wanted)
+    keys = cut_measured(table.where(wanted & F.col(key).isNotNull()).select(key).distinct())
+    return latest(table.join(keys.side(), key, "left_semi"), key, at, columns).where(wanted)
 
 
 def latest_of(table: DataFrame, key: str, at: str, columns: Iterable[str], keys: DataFrame) -> DataFrame:
     """The rows of :func:`latest` of the given keys."""
-    written = cut_lineage(keys.select(key).distinct())
-    return latest(table.join(measured_side(written), key, "left_semi"), key, at, columns)
+    written = cut_measured(keys.select(key).distinct())
+    return latest(table.join(written.side(), key, "left_semi"), key, at, columns)
 
 
 def settled(table: DataFrame, key: str, at: str, columns: Iterable[str]) -> DataFrame:
@@ -45,8 +45,7 @@ def settled(table: DataFrame, key: str, at: str, columns: Iterable[str]) -> Data
     keys, nearly the whole table, are read where they lie, with filters and columns pushed to their scan."""
     columns = list(columns)
     rows = table.where(F.col(key).isNotNull())
-    repeated = cut_lineage(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
-    side = measured_side(repeated)
+    side = cut_measured(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)).side()
     again = cut_lineage(latest(rows.join(side, key, "left_semi"), key, at, columns))
     return rows.join(side, key, "left_anti").select(*again.columns).unionByName(again)
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, join_side, measured
+from ..session import cut_lineage, cut_measured, join_side
 
 
 def _usable(edges: DataFrame, kinds: list[str] | None) -> DataFrame:
@@ -33,28 +33,25 @@ def walk(edges: DataFrame, origins: DataFrame, depth: int, incoming: bool, kinds
 def _walk(e: DataFrame, origins: DataFrame, depth: int, incoming: bool, budget: int | None, goal: str | None = None) -> tuple[DataFrame, bool, int | None]:
     """As :func:`walk`; ends with the level that reaches ``goal`` and tells its distance."""
     near, far = ("target", "source") if incoming else ("source", "target")
-    seen = cut_lineage(origins.where("id IS NOT NULL").select("id").distinct().selectExpr("id", "0 AS distance", "CAST(NULL AS STRING) AS via", "CAST(NULL AS BIGINT) AS edge_id"))
-    n, size = measured(seen.select("id"))
-    total, total_size = n, size
-    frontier, exhausted = seen.select(F.col("id").alias(near)), False
-    left = None if budget is None else budget - n
+    last = cut_measured(origins.where("id IS NOT NULL").select("id").distinct().selectExpr("id", "0 AS distance", "CAST(NULL AS STRING) AS via", "CAST(NULL AS BIGINT) AS edge_id"))
+    seen, total, size, exhausted = last.df, last.rows, last.size, False
+    left = None if budget is None else budget - last.rows
+    reached = {} if goal is None else {"goal": F.count_if(F.col("id") == goal)}
     for level in range(1, depth + 1):
-        found = _step(e, join_side(frontier, n, size), near, far, join_side(seen.select("id"), total, total_size))
+        found = _step(e, last.side(last.df.select(F.col("id").alias(near))), near, far, join_side(seen.select("id"), total, size))
         if left is not None and left <= 0:
             exhausted = not found.isEmpty()
             break
         new = found.select("id", F.lit(level).alias("distance"), "via", "edge_id")
-        new = cut_lineage(new if left is None else new.orderBy("edge_id", "id").limit(left + 1))
-        n, size = measured(new.select("id"))
-        if left is not None and n > left:
-            exhausted, new, n = True, cut_lineage(new.orderBy("edge_id", "id").limit(left)), left
-        if not n:
+        last = cut_measured(new if left is None else new.orderBy("edge_id", "id").limit(left + 1), **reached)
+        if left is not None and last.rows > left:
+            exhausted, last = True, cut_measured(last.df.orderBy("edge_id", "id").limit(left), **reached)
+        if not last.rows:
             break
-        left = None if left is None else left - n
-        seen, total, total_size = seen.unionByName(new), total + n, total_size + size
-        if goal is not None and not new.where(F.col("id") == goal).isEmpty():
+        left = None if left is None else left - last.rows
+        seen, total, size = seen.unionByName(last.df), total + last.rows, size + last.size
+        if last.counted.get("goal"):
             return seen, exhausted, level
-        frontier = new.select(F.col("id").alias(near))
         if exhausted:
             break
     return seen, exhausted, None
@@ -88,9 +85,9 @@ def trace(edges: DataFrame, nodes: DataFrame, start: str, goal: str, max_depth:
     seen, _, length = _walk(e, origin, max_depth, False, budget, goal)
     if length is None:
         return spark.createDataFrame([], schema)
-    n, size = measured(seen.select("id"))
-    near = join_side(seen.select(F.col("id").alias("source"), F.col("distance").alias("d")), n, size)
-    after = join_side(seen.select(F.col("id").alias("target"), F.col("distance").alias("d2")), n, size)
+    all_seen = cut_measured(seen.select("id", "distance"))
+    near = all_seen.side(all_seen.df.select(F.col("id").alias("source"), F.col("distance").alias("d")))
+    after = all_seen.side(all_seen.df.select(F.col("id").alias("target"), F.col("distance").alias("d2")))
     between = e.join(near, "source").join(after, "target").where("d2 = d + 1")
     # parallel edges meet only after the layers have filtered them
     layered = cut_lineage(between.groupBy("source", "target", "d").agg(F.min("edge_id").alias("edge_id"), F.min_by("kind", "edge_id").alias("kind")))
@@ -107,7 +104,8 @@ def trace(edges: DataFrame, nodes: DataFrame, start: str, goal: str, max_depth:
         grown = paths.join(part.withColumnRenamed("source", "at"), "at")
         hop = F.array(F.struct(F.col("target").alias("node"), "edge_id", "kind"))
         paths = grown.select(F.col("target").alias("at"), F.concat("hops", hop).alias("hops"), F.concat("ids", F.array("edge_id")).alias("ids"))
-        paths = cut_lineage(paths.orderBy("ids").limit(max_paths))  # the best paths extend best prefixes
+        paths = paths.orderBy("ids").limit(max_paths)  # the best paths extend best prefixes
+    paths = cut_lineage(paths)
     ends = paths.select("ids", "hops", F.explode("hops.node").alias("id")).join(known, "id", "left")
     kept = paths.join(ends.join(known, "id", "left_anti").select("ids").distinct(), "ids", "left_anti")
     numbered = kept.withColumn("path_no", F.expr("row_number() OVER (ORDER BY ids)"))  # at most max_paths rows

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import arrays, text
 from ..operators import compose, ranking, relations, resolution, traverse
-from ..session import cut_lineage, join_side, measured
+from ..session import cut_lineage, cut_measured
 from ..sources import gitignore, tree
 from ..streaming import debounce
 from .tables import table
@@ -157,8 +157,7 @@ def impact_rendered(spark, folder):
 def _trace_ends(spark, folder, walked):
     """The most called node and the least id two edges before it."""
     e, goal = walked.where("source IS NOT NULL AND target IS NOT NULL"), _subject(spark, folder, walked)
-    near = cut_lineage(e.where(F.col("target") == goal).select("source").distinct())
-    near = join_side(near, *measured(near))
+    near = cut_measured(e.where(F.col("target") == goal).select("source").distinct()).side()
     first = e.join(near.select(F.col("source").alias("target")), "target", "left_semi").select("source").distinct().join(near, "source", "left_anti").where(F.col("source") != goal)
     start = first.join(table(spark, folder, "nodes").select(F.col("id").alias("source")), "source", "left_semi").agg(F.min("source")).first()[0]
     return start, goal

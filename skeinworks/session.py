@@ -6,8 +6,9 @@ import pathlib
 import re
 import tempfile
 import zipfile
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .model import GraphError
@@ -29,11 +30,28 @@ def checkpoint_folder(spark: SparkSession) -> str:
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 * 1024 * 1024
 
 
-def measured(df: DataFrame) -> tuple[int, int]:
-    """Rows and bytes of the values of a narrow table that is written already."""
+@dataclass
+class Written:
+    """A table that was written to the checkpoint folder, and what was counted on the way."""
+
+    df: DataFrame
+    rows: int
+    size: int  # bytes of the values
+    counted: dict[str, int]
+
+    def side(self, columns: DataFrame | None = None) -> DataFrame:
+        """The table, or some columns of it, as a side of a join: broadcast where the table is small, else as it is."""
+        return join_side(self.df if columns is None else columns, self.rows, self.size)
+
+
+def cut_measured(df: DataFrame, **more: Column) -> Written:
+    """As :func:`cut_lineage`; rows, bytes and the caller's own aggregates are observed by the job that writes the table."""
+    checkpoint_folder(df.sparkSession)
     size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(8))
-    r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
-    return r["n"], r["b"]
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("_rows"), F.coalesce(F.sum(size), F.lit(0)).alias("_size"), *[c.alias(name) for name, c in more.items()]).checkpoint()
+    counted = dict(seen.get)
+    return Written(out, counted.pop("_rows"), counted.pop("_size"), counted)
 
 
 def join_side(df: DataFrame, rows: int, size: int) -> DataFrame:
@@ -41,10 +59,6 @@ def join_side(df: DataFrame, rows: int, size: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
-def measured_side(df: DataFrame) -> DataFrame:
-    return join_side(df, *measured(df))
-
-
 #: Rows and bytes of one batch that goes to Python.
 BATCH_ROWS, BATCH_BYTES = 1000, 32 * 1024 * 1024
 
