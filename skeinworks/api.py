@@ -181,7 +181,7 @@ class Graph:
 
     def context(self, task: str, limit: float | None = None) -> dict:
         spark = self.nodes.sparkSession
-        tasks = spark.createDataFrame([(1, model.required(task, "task"))], "task_id int, task string")
+        tasks = spark.range(1).select(F.lit(1).alias("task_id"), F.lit(model.required(task, "task")).alias("task"))
         entries = compose.context_entries(self.nodes, tasks, model.CONTEXT_TERMS, self._limit(None), self._limit(limit))
         order = Window.partitionBy(F.lit(0)).orderBy(F.col("hits").desc(), "best", "id")  # at most a request's limit of rows
         ranked = cut_lineage(entries.join(self.nodes, "id").withColumn("rank", F.row_number().over(order)))

@@ -318,12 +318,16 @@ def context_terms_all(spark, folder):
     return text.terms(table(spark, folder, "documents"), "doc_id", "text", None)
 
 
+def _task(spark) -> DataFrame:
+    return spark.range(1).select(F.lit(1).alias("task_id"), F.lit(TASK).alias("task"))
+
+
 def context_ranked(spark, folder):
-    return compose.context_entries(nodes(spark, folder, (*VIEW, "is_exported")), spark.createDataFrame([(1, TASK)], "task_id int, task string"), model.CONTEXT_TERMS, 50, model.MAX_LIMIT)
+    return compose.context_entries(nodes(spark, folder, (*VIEW, "is_exported")), _task(spark), model.CONTEXT_TERMS, 50, model.MAX_LIMIT)
 
 
 def _term_hits(spark, folder) -> DataFrame:
-    terms = text.terms(spark.createDataFrame([(1, TASK)], "task_id int, task string"), "task_id", "task", model.CONTEXT_TERMS)
+    terms = text.terms(_task(spark), "task_id", "task", model.CONTEXT_TERMS)
     return compose.term_hits(nodes(spark, folder, (*VIEW, "is_exported")), terms, model.LIMIT)
 
 
