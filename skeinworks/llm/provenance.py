@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_batches, cut_lineage
+from ..session import bounded_batches, cut_lineage, cut_measured
 from . import lexing, repair
 from .sources import files_with_text, repository
 
@@ -175,13 +175,14 @@ def foreign_tokens(features: DataFrame) -> DataFrame:
     A rule is foreign to all its files if the least and greatest of its
     repositories, as hashes, differ: two algebraic aggregates of fixed size, so a
     rule that stands in a third of all files reaches the shuffle as a few partial
-    rows.  Where such a rule's uses meet the join, the planner may split them:
-    another shuffle follows.
+    rows.  The shared rules are written and measured: where they are few they go to
+    the uses, and where they are many the planner may split a hot rule's uses, as no
+    aggregate stands between the join and its shuffles.
     """
     uses = features.select("path", F.explode("rules").alias("r")).select("path", "r.rule", "r.tokens")
     repo = F.xxhash64(repository(F.col("path")))
-    shared = uses.groupBy("rule").agg(F.min(repo).alias("a"), F.max(repo).alias("b")).where("a <> b").select("rule")
-    return uses.join(shared, "rule", "left_semi").groupBy("path").agg(F.sum("tokens").alias("foreign"))
+    shared = cut_measured(uses.groupBy("rule").agg(F.min(repo).alias("a"), F.max(repo).alias("b")).where("a <> b").select("rule"))
+    return uses.join(shared.side(), "rule", "left_semi").groupBy("path").agg(F.sum("tokens").alias("foreign"))
 
 
 def classified(files: DataFrame, source_texts: DataFrame) -> DataFrame:

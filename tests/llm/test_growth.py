@@ -75,3 +75,23 @@ def test_small_weights_keep_their_slots():
     assert min(many.values()) >= 8 and sum(many.values()) == 100_000
     with pytest.raises(GraphError):
         mixing.whole_weights({"a": 1.0, "b": 1e-9})
+
+
+def test_a_rule_of_most_files_is_split_over_tasks(spark, monkeypatch):
+    from skeinworks import session
+    from skeinworks.llm import provenance
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    features = spark.range(40_000).selectExpr("concat('r', id % 50, '/f', id, '.js') AS path", "array(named_struct('rule', CASE WHEN id % 10 < 9 THEN 7L ELSE id END, 'tokens', 20L), named_struct('rule', -id, 'tokens', 30L)) AS rules").repartition(16)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = provenance.foreign_tokens(features)
+        rows = found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert len(rows) == 36_000 and {r["foreign"] for r in rows} == {20}
